@@ -1,9 +1,10 @@
 """Substring dedup by paragraph MinHash banding.
 
 Passages that repeat may begin and end in the middle of lines, so paragraphs are found by content:
-anchors are sentence starts, line starts and words whose hash is divisible by 16; of every
-few neighbouring anchors the one with the least hash is kept (winnowing); and a paragraph is the
-run of words that begins there.  Equal passages thus hold equal paragraphs wherever they stand.
+anchors are sentence starts, line starts and words whose hash is divisible by 16; an anchor whose
+hash is the least within a few words on either side is kept; and a paragraph is the run of words that
+begins there.  Equal passages thus hold equal paragraphs wherever they stand, and neighbouring paragraphs of a
+document are too far apart to be alike.
 
 Equal paragraphs are one node.  MinHash values of word shingles are banded with two rows a band, so that
 a pair at the threshold meets with probability over 0.98; colliding nodes are verified by exact Jaccard
@@ -28,8 +29,8 @@ from .components import components
 from .forest import bucket_links
 from .simhash import LOWER
 
-WORDS, LEAST, SHINGLE, SIMILARITY = 30, 25, 5, 0.8
-NEAR = 4  # anchors of which one is kept
+WORDS, LEAST, SHINGLE, SIMILARITY = 25, 20, 5, 0.8
+NEAR = 10  # words on either side of an anchor that is kept
 BANDS, ROWS = 4, 2
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -85,12 +86,17 @@ def paragraphs(w: Words, size: int = WORDS, least: int = LEAST, near: int = NEAR
     """The first words of the paragraphs of a text."""
     if w.n < size:
         return np.zeros(int(w.n >= least), np.int64)
-    at = np.flatnonzero(w.anchors[: w.n - size + 1])
-    value = w.grams(SHINGLE)[at]
-    if len(at) <= near:
-        return at[[int(np.argmin(value))]] if len(at) else np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(value, near)
-    return at[np.unique(view.argmin(1) + np.arange(len(view)))]
+    every = np.flatnonzero(w.anchors)
+    last = np.uint64(0xFFFFFFFFFFFFFFFF)
+    value = np.where(every > w.n - SHINGLE, last, w.grams(SHINGLE)[np.minimum(every, w.n - SHINGLE)])
+    # Strictly less than before and no more than after, so that of equal neighbours one is kept.
+    low, high = np.searchsorted(every, every - near), np.searchsorted(every, every + near, side="right")
+    here, padded = np.arange(len(every)), np.r_[value, last]
+    before = np.where(low < here, np.minimum.reduceat(padded, np.stack([low, np.maximum(here, low + 1)], 1).ravel())[::2], last)
+    after = np.minimum.reduceat(padded, np.stack([here, high], 1).ravel())[::2]
+    at = every[(value < before) & (value <= after)]
+    at = at[at <= w.n - size]
+    return at if len(at) else every[[int(np.argmin(value[every <= w.n - size]))]]
 
 
 def band_keys(w: Words, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,15 +174,17 @@ def repeats(docs: DataFrame, size: int = WORDS, least: int = LEAST, similarity:
     last = F.max(F.struct("doc_id", "row_hash")).alias("last")
     nodes = places.groupBy("node").agg(first, last, F.first("bands").alias("bands"))
     nodes = stage(nodes, "nodes")
-    keys = nodes.select("node", F.explode("bands").alias("bucket"))
+    # A bucket whose nodes all belong to one document holds nothing to compare.
+    who = lambda c: F.struct(F.col(f"{c}.doc_id"), F.col(f"{c}.row_hash"))
+    owner = F.when(who("first").eqNullSafe(F.col("last")), F.xxhash64("last")).otherwise(F.xxhash64("node"))
+    keys = nodes.select("node", owner.alias("owner"), F.explode("bands").alias("bucket"))
     inside = Window.partitionBy("bucket")
-    near = keys.withColumn("a", F.min("node").over(inside)).withColumn("z", F.max("node").over(inside)).where("a <> z")
+    near = keys.withColumn("a", F.min("owner").over(inside)).withColumn("z", F.max("owner").over(inside)).where("a <> z")
     near = stage(near.select("bucket", F.col("node").alias("id")).distinct(), "near")
     wanted = nodes.join(near.select(F.col("id").alias("node")).distinct(), "node").select("first.*", "node")
     members = near.join(shingles(docs, wanted).withColumnRenamed("node", "id"), "id").select("bucket", "id", "grams")
     comp = components(bucket_links(members, lambda t: alike(t, similarity)))
     named = nodes.select("node", "first", "last").join(comp, "node", "left").withColumn("class_id", F.coalesce("label", "node"))
-    who = lambda c: F.struct(F.col(f"{c}.doc_id"), F.col(f"{c}.row_hash"))
     classes = named.groupBy("class_id").agg(F.min("first").alias("keeper"), F.max("last").alias("last"))
     classes = classes.where(~who("keeper").eqNullSafe(F.col("last")))
     found = stage(named.join(classes.select("class_id", "keeper"), "class_id").select("node", "class_id", "keeper"), "found")
