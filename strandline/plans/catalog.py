@@ -1,5 +1,9 @@
 """The registered queries and their SQL oracles."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from . import mapping, outputs, sequences
+
 FLAGSHIP = "best_hit"
+QUERIES = {**sequences.QUERIES, **mapping.QUERIES, **outputs.QUERIES}
+ORACLES = {**sequences.ORACLES, **mapping.ORACLES, **outputs.ORACLES}
