@@ -230,7 +230,7 @@ def near_placements(spark, sf_dir):
 def spans(spark, sf_dir) -> DataFrame:
     """Lines of an order as segments of a read, best first."""
     li = read(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_linenumber", "l_partkey")
+    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_linenumber", "l_partkey", "l_suppkey")
     qb = (F.col("l_partkey") % 80).cast("int")
     s = li.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("score"), (F.col("l_suppkey") % 4).cast("int").alias("ref_id"), qb.alias("qb"), (qb + F.col("l_quantity").cast("int")).alias("qe"), F.col("l_partkey").alias("pos"), F.row_number().over(order).alias("rank"))
     first = Window.partitionBy("l_orderkey").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -349,8 +349,10 @@ COVER = f"""{MEMS}, reach AS (
 ), gate AS (
   SELECT s.read_id, s.strand FROM sides s LEFT JOIN cover c ON c.read_id = s.read_id AND c.strand = s.strand WHERE 2 * coalesce(covered, 0) < length(seq)
 )"""
-PAIRS = """m AS (
+PAIRS = """every AS (
   SELECT l_orderkey AS pair_id, l_linenumber AS mate, CAST(l_suppkey % 3 AS INTEGER) AS ref_id, l_partkey AS pos, l_returnflag = 'R' AS rev, CAST(l_quantity AS INTEGER) AS span, CAST(l_quantity + 10 AS INTEGER) AS mapq FROM lineitem WHERE l_linenumber <= 2
+), m AS (
+  SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY pair_id, mate ORDER BY ref_id DESC, pos DESC, rev DESC, span DESC, mapq DESC) = 1
 ), f AS (
   SELECT *, CASE WHEN rev THEN pos + span - 1 ELSE pos END AS five FROM m
 ), pairs AS (
@@ -359,7 +361,7 @@ PAIRS = """m AS (
 )"""
 SPANS = """z AS (
   SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS score, CAST(l_suppkey % 4 AS INTEGER) AS ref_id, CAST(l_partkey % 80 AS INTEGER) AS qb, CAST(l_partkey % 80 + l_quantity AS INTEGER) AS qe, l_partkey AS pos,
-         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS INTEGER) AS rank FROM lineitem
+         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS rank FROM lineitem
 ), s AS (
   SELECT z.*, p.ref_id AS pref, p.qb AS pqb, p.qe AS pqe, p.score AS best, greatest(0, least(p.qe, z.qe) - greatest(p.qb, z.qb)) AS ov, greatest(0, p.qb - z.qb) + greatest(0, z.qe - p.qe) AS ext
   FROM z JOIN z p ON p.l_orderkey = z.l_orderkey AND p.rank = 1

@@ -17,9 +17,9 @@ def placed(spark, sf_dir) -> DataFrame:
     """
     li = read(spark, sf_dir, "lineitem")
     ref = F.when(F.col("l_returnflag") == "N", (F.col("l_partkey") % 100).cast("int")).otherwise(F.lit(-1))
-    r = li.select("l_orderkey", "l_linenumber", ref.alias("ref_idx"), (F.col("l_orderkey") % 3000 * 37).cast("int").alias("pos0"), F.col("l_quantity").cast("int").alias("span"))
+    r = li.select("l_orderkey", "l_linenumber", "l_partkey", ref.alias("ref_idx"), (F.col("l_orderkey") % 3000 * 37).cast("int").alias("pos0"), F.col("l_quantity").cast("int").alias("span"))
     r = r.withColumn("end0", F.col("pos0") + F.col("span") * 400)
-    order = Window.partitionBy("ref_idx").orderBy("pos0", "l_orderkey", "l_linenumber")
+    order = Window.partitionBy("ref_idx").orderBy("pos0", "l_orderkey", "l_linenumber", "l_partkey", "span")
     n = r.groupBy("ref_idx").agg(F.count("*").alias("n_"))
     before = Window.orderBy((F.col("ref_idx") < 0).cast("int"), "ref_idx").rowsBetween(Window.unboundedPreceding, -1)
     base = n.select(F.col("ref_idx").alias("k_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
@@ -256,9 +256,9 @@ QUERIES = {
 }
 
 PLACED = """r AS (
-  SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN CAST(l_partkey % 100 AS INTEGER) ELSE -1 END AS ref_idx, CAST(l_orderkey % 3000 * 37 AS INTEGER) AS pos0, CAST(l_quantity AS INTEGER) AS span FROM lineitem
+  SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'N' THEN CAST(l_partkey % 100 AS INTEGER) ELSE -1 END AS ref_idx, CAST(l_orderkey % 3000 * 37 AS INTEGER) AS pos0, CAST(l_quantity AS INTEGER) AS span FROM lineitem
 ), e AS (
-  SELECT *, pos0 + span * 400 AS end0, (row_number() OVER (ORDER BY ref_idx < 0, ref_idx, pos0, l_orderkey, l_linenumber) - 1) * 100 AS beg FROM r
+  SELECT *, pos0 + span * 400 AS end0, (row_number() OVER (ORDER BY ref_idx < 0, ref_idx, pos0, l_orderkey, l_linenumber, l_partkey, span) - 1) * 100 AS beg FROM r
 ), placed AS (
   SELECT *, beg + 100 AS "end", CAST(CASE WHEN pos0 >> 14 = (end0 - 1) >> 14 THEN 4681 + (pos0 >> 14) WHEN pos0 >> 17 = (end0 - 1) >> 17 THEN 585 + (pos0 >> 17) WHEN pos0 >> 20 = (end0 - 1) >> 20 THEN 73 + (pos0 >> 20)
     WHEN pos0 >> 23 = (end0 - 1) >> 23 THEN 9 + (pos0 >> 23) WHEN pos0 >> 26 = (end0 - 1) >> 26 THEN 1 + (pos0 >> 26) ELSE 0 END AS INTEGER) AS bin FROM e
@@ -299,10 +299,10 @@ UNION ALL SELECT 3, 0, '@PG' || chr(9) || 'ID:strandline' || chr(9) || 'PN:stran
     "bam_fields": f"""WITH {CONTIGS}, {RECORDS}, p AS (
   SELECT read_id, CAST(coalesce(o.ref_id, -1) AS INTEGER) AS ref_idx, CAST(coalesce(CASE WHEN rnext = '=' THEN o.ref_id END, -1) AS INTEGER) AS mate_idx, pos - 1 AS pos0, CASE WHEN o.ref_id IS NULL THEN pos - 1 ELSE pos - 1 + 23 END AS end0 FROM rec LEFT JOIN contigs o ON o.name = rname
 )
-SELECT *, CAST(CASE WHEN ref_idx < 0 THEN 4680 WHEN pos0 >> 14 = (end0 - 1) >> 14 THEN 4681 + (pos0 >> 14) WHEN pos0 >> 17 = (end0 - 1) >> 17 THEN 585 + (pos0 >> 17) ELSE -1 END AS INTEGER) AS bin FROM p""",
+SELECT *, CAST(CASE WHEN ref_idx < 0 THEN 4680 WHEN pos0 >> 14 = (end0 - 1) >> 14 THEN 4681 + (pos0 >> 14) WHEN pos0 >> 17 = (end0 - 1) >> 17 THEN 585 + (pos0 >> 17) ELSE 0 END AS INTEGER) AS bin FROM p""",
     "same_records": "SELECT CAST(0 AS BIGINT) AS different",
     "accuracy_counts": f"WITH {RECORDS} SELECT count(*) AS reads, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 4 = 0 AND abs(pos - (o_custkey + read_id % 9)) <= 5) AS correct_pos, count(*) FILTER (flag & 4 = 0 AND mapq >= 30) AS confident, round(avg(mapq) FILTER (flag & 4 = 0), 6) AS avg_mapq FROM rec",
-    "last_record": "SELECT l_orderkey, arg_max(l_partkey, l_linenumber) AS l_partkey FROM lineitem GROUP BY l_orderkey",
+    "last_record": "SELECT l_orderkey, arg_max(l_partkey, l_linenumber * 1000000000000 + l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey",
     "radix_order": "SELECT c_custkey, c_acctbal, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS INTEGER) AS rank FROM customer",
     "pair_order": "SELECT l_suppkey, l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey, l_linenumber) AS INTEGER) AS rank FROM lineitem",
     "match_order": "SELECT l_orderkey, string_agg(l_linenumber, ',' ORDER BY l_partkey % 80, l_suppkey % 4, -l_quantity, l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey",

@@ -301,8 +301,8 @@ ORACLES = {
   SELECT id, i, CAST('0x' || substr(md5('42:' || id || ':' || i), 1, 7) AS BIGINT) AS v FROM range(50) a(id), range(200) b(i)
 ) SELECT id, string_agg(CASE WHEN (v // 4) % 1000000 < 10000 THEN 'N' ELSE substr('ACGT', v % 4 + 1, 1) END, '' ORDER BY i) AS seq FROM e GROUP BY id""",
     "cigar_pack": f"WITH {ORDER_OPS} SELECT l_orderkey, l_linenumber, CAST(len * 16 + l_partkey % 9 AS INTEGER) AS packed, len AS op_len, op FROM o",
-    "cigar_format": f"WITH {ORDER_OPS} SELECT l_orderkey, string_agg(len || op, '' ORDER BY l_linenumber, l_partkey) AS cigar FROM o GROUP BY l_orderkey",
-    "cigar_parse": f"WITH {ORDER_OPS} SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS i, op, len FROM o",
+    "cigar_format": f"WITH {ORDER_OPS} SELECT l_orderkey, string_agg(len || op, '' ORDER BY l_linenumber, l_partkey, len) AS cigar FROM o GROUP BY l_orderkey",
+    "cigar_parse": f"WITH {ORDER_OPS} SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, len) - 1 AS INTEGER) AS i, op, len FROM o",
     "cigar_spans": f"""WITH {ORDER_OPS} SELECT l_orderkey, CAST(coalesce(sum(len) FILTER (op IN ('M', '=', 'X', 'D', 'N')), 0) AS INTEGER) AS ref_span, CAST(coalesce(sum(len) FILTER (op IN ('M', '=', 'X', 'I')), 0) AS INTEGER) AS query_span,
   CAST(coalesce(sum(len) FILTER (op IN ('X', 'I', 'D')), 0) AS INTEGER) AS nm, CAST(coalesce(sum(len) FILTER (op = 'X'), 0) AS INTEGER) AS n_mismatch, CAST(count(*) FILTER (op IN ('I', 'D')) AS INTEGER) AS n_gap_open, CAST(coalesce(sum(len) FILTER (op IN ('I', 'D')), 0) AS INTEGER) AS n_gap_base FROM o GROUP BY l_orderkey""",
     "bins": """WITH p AS (SELECT l_orderkey, l_linenumber, l_orderkey * 1009 AS b, l_orderkey * 1009 + CAST(trunc(l_quantity * l_quantity * 60) AS BIGINT) AS e FROM lineitem)
@@ -329,7 +329,7 @@ SELECT o_orderkey, CASE WHEN n >= 1099511627776 THEN printf('%.2f TB', n / 10995
     "string_functions": "SELECT c_custkey, c_name || '|' || c_nationkey AS joined, CAST(instr(c_name, '#') AS INTEGER) AS found, substr(c_name, 2, 5) AS part, rpad(c_mktsegment, 12, '_') AS padded, CAST(length(c_name) AS INTEGER) AS size, printf('%08d', c_custkey) AS number, c_name < c_mktsegment AS less FROM customer",
     "container_functions": """WITH o AS (SELECT l_orderkey, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS v FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, CAST(len(v) AS INTEGER) AS size, array_to_string(list_append(v, 7), ',') AS pushed, array_to_string(list_reverse(v[1:2]), ',') AS head, array_to_string(list_sort(list_distinct(v)), ',') AS "unique",
-  coalesce(list_filter(v, x -> x % 3 = 0)[1], -1) AS zero, len(list_filter(v, x -> x % 3 = 1)) > 0 AS has_one, CAST(len(list_distinct(list_append(list_transform(v, x -> x % 3), 0))) AS INTEGER) AS n_keys FROM o""",
+  coalesce(list_filter(v, lambda x: x % 3 = 0)[1], -1) AS zero, len(list_filter(v, lambda x: x % 3 = 1)) > 0 AS has_one, CAST(len(list_distinct(list_append(list_transform(v, lambda x: x % 3), 0))) AS INTEGER) AS n_keys FROM o""",
     "chain_windows": "SELECT l_orderkey, l_linenumber, greatest(0, l_partkey - CAST(l_quantity AS INTEGER) - 16) AS window_begin, least(1500, l_partkey - CAST(l_quantity AS INTEGER) + 166) AS window_end FROM lineitem",
     "clip_rewrite": """WITH p AS (SELECT l_orderkey, l_linenumber, CAST(l_linenumber * 3 AS INTEGER) AS qb, CAST(l_linenumber * 3 + l_quantity AS INTEGER) AS qe FROM lineitem)
 SELECT l_orderkey, l_linenumber, qb || 'S' || (qe - qb) || '=' || (80 - qe) || 'S' AS soft, qb || 'H' || (qe - qb) || '=' || (80 - qe) || 'H' AS hard, substr(repeat('ACGTTGCA', 10), qb + 1, qe - qb) AS seq FROM p""",
