@@ -50,12 +50,10 @@ def parse(rows: Iterator[str]) -> Iterator[tuple[str, str, str, str, str | None]
 
     A record that is no record gives a row with an error and never shifts the ones after it.
     """
-    held: str | None = None
+    back: list[str] = []  # lines to be read again, the next one last
 
     def after() -> str | None:
-        nonlocal held
-        out, held = (held, None) if held is not None else (next(rows, None), None)
-        return out
+        return back.pop() if back else next(rows, None)
 
     while (line := after()) is not None:
         if not line:
@@ -65,15 +63,20 @@ def parse(rows: Iterator[str]) -> Iterator[tuple[str, str, str, str, str | None]
             parts = []
             while (line := after()) is not None and line[:1] not in (">", "@"):
                 parts.append(line)
-            held = line
+            if line is not None:
+                back.append(line)
             yield name, comment, "".join(parts), "", None
         elif line[0] == "@":
             seq, plus, qual = after(), after(), after()
-            if seq is None or plus is None or qual is None:
+            if seq is not None and plus is not None and plus[:1] != "+":
+                # The lines that may begin or belong to the next record are read again.
+                again = [plus, qual] if plus[:1] in ("@", ">") else [qual] if (qual or "")[:1] in ("@", ">") else []
+                back += [x for x in reversed(again) if x is not None]
+                yield name, comment, seq, "", "no separator line"
+            elif seq is None or plus is None or qual is None:
                 yield name, comment, seq or "", "", "the record ends early"
-            elif plus[:1] != "+" or len(seq) != len(qual):
-                held = next((x for x in (plus, qual) if x[:1] == "@" and x is not seq), None) if plus[:1] != "+" else None
-                yield name, comment, seq, "", "no separator line" if plus[:1] != "+" else "sequence and quality differ in length"
+            elif len(seq) != len(qual):
+                yield name, comment, seq, "", "sequence and quality differ in length"
             else:
                 yield name, comment, seq, qual, None
         else:
