@@ -2,9 +2,9 @@
 
 A document is tokenized, ended by id 0, and cut only if it is longer than a sequence: all
 pieces but the first are then exactly one sequence long.  So a document leaves at most one
-piece to pack; full pieces are sequences of their own.  Each piece goes where the sum of
-squared counts of open bins per residual gap becomes smallest: moving a bin from gap g to
-g - s changes it by 2 (N[g-s] - N[g]) + 2, a new bin by 2 N[C-s] + 1.
+piece to pack; full pieces are sequences of their own.  Each piece goes into the open bin that makes the
+sum of squared counts of open bins per residual gap smallest: moving a bin from gap g to g - s
+changes it by 2 (N[g-s] - N[g]) + 2, filling one by 1 - 2 N[s].  A bin is opened only where no open one has room.
 
 The pieces are dealt by hash into shards of a bounded number of rows, packed one by one
 in descending length, so state is two arrays of the capacity's length and the bins of a shard.
@@ -77,14 +77,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     count = np.zeros(capacity + 1, np.int64)  # open bins by gap; gap 0 is closed and counts nothing
     at: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, used = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
+    closed = np.iinfo(np.int64).max
     for i, s in enumerate(lengths.tolist()):
         have = count[s:]
-        change = np.where(have > 0, 2 * (count[: capacity + 1 - s] - have) + 2, np.iinfo(np.int64).max)
+        change = np.where(have > 0, 2 * (count[: capacity + 1 - s] - have) + 2, closed)
         if have[0] > 0:
-            change[0] = 1 - 2 * have[0]  # it closes the bin
+            change[0] = 1 - 2 * have[0]
         j = int(np.argmin(change))
-        fresh = 2 * count[capacity - s] + 1 if s < capacity else 0
-        if change[j] <= fresh:
+        if change[j] < closed:
             g = s + j
             b = at[g].pop()
             count[g] -= 1

@@ -217,6 +217,23 @@ def test_bit_parallel_distance_is_exact(spark, edits):
     assert got == {i for i, a, b in rows if levenshtein(a, b) <= edits}
 
 
+def test_character_counts_never_part_near_lines(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = []
+    for _ in range(400):
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz é") for _ in range(rng.randint(0, 90)))
+        b = edited(rng, a, rng.randint(0, 4)) if rng.random() < 0.8 else "".join(rng.choice("abé ") for _ in range(rng.randint(0, 90)))
+        rows.append((a, b))
+    near = linejoin.counts_near(linejoin.char_counts(F.col("a")), linejoin.char_counts(F.col("b")), 2)
+    for r in frame(spark, rows, "a string, b string").select("a", "b", near.alias("near")).collect():
+        count = lambda t: [sum(ord(c) % linejoin.FIELDS == k for c in t) for k in range(linejoin.FIELDS)]
+        d = [abs(x - y) for x, y in zip(count(r.a), count(r.b))]
+        assert r.near or sum(d) > 4
+        assert not r.near or sum(d) <= 4 or max(d) > 7
+
+
 @pytest.mark.parametrize("edits", [1, 2])
 def test_line_classes_match_brute_force(spark, edits):
     rng = random.Random(20 + edits)

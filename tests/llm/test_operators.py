@@ -102,7 +102,9 @@ def test_every_placement_is_least_in_the_sum_of_squares():
     lengths = np.array([rng.randint(1, 19) for _ in range(200)])
     bins, offsets = packing.sum_of_squares(lengths, capacity)
     for s, b, o in zip(lengths.tolist(), bins.tolist(), offsets.tolist()):
-        choices = [used | {x: used.get(x, 0) + s} for x in [*used, -1] if used.get(x, 0) + s <= capacity]
+        room = [x for x, u in used.items() if u + s <= capacity]
+        choices = [used | {x: used.get(x, 0) + s} for x in room or [b]]
+        assert bool(room) == (b in used)
         assert used.get(b, 0) == o
         used[b] = o + s
         assert cost(used, capacity) == min(cost(c, capacity) for c in choices)
@@ -129,7 +131,7 @@ def test_packed_sequences_are_whole_and_gapless(spark):
             at += n
         assert at <= 2048
     least = math.ceil(sum(r.length for r in got) / 2048)
-    assert len(places) <= 1.06 * least + 2
+    assert len(places) <= least + 2
     assert packing.packed(frame(spark, []), tokenizer_ranks()).count() == 0
 
 
