@@ -84,6 +84,25 @@ def edit_count(ops) -> Column:
     return cigar_sum(ops, "XID")
 
 
+def chain_cigar(mems, query_len) -> Column:
+    """The CIGAR of a chain ``array<struct<qpos, rpos, len>>`` without alignment.
+
+    Ends are soft-clipped; of the gap between two matches what both sides have is matched and the rest is an insertion
+    or a deletion.
+    """
+    m = col(mems)
+    part = lambda n, op: F.when(n > 0, F.concat(n.cast("string"), F.lit(op))).otherwise(F.lit(""))
+
+    def step(s, x):
+        q, r = x["qpos"] - s["q"], x["rpos"] - s["r"]
+        gap = F.concat(part(F.least(q, r), "M"), part(q - r, "I"), part(r - q, "D"))
+        text = F.when(s["q"] < 0, part(x["qpos"], "S")).otherwise(F.concat(s["text"], gap))
+        return F.struct(F.concat(text, part(x["len"], "M")).alias("text"), (x["qpos"] + x["len"]).alias("q"), (x["rpos"] + x["len"]).alias("r"))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(-1).alias("q"), F.lit(-1).alias("r"))
+    return F.aggregate(m, start, step, lambda s: F.concat(s["text"], part(col(query_len) - s["q"], "S")))
+
+
 def reg2bin(beg, end) -> Column:
     """The bin of the half-open range in the binning scheme of BAM indexes."""
     b, e = col(beg).cast("long"), col(end).cast("long") - 1

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mapping, outputs, sequences
+from . import files, mapping, outputs, sequences
 
 FLAGSHIP = "best_hit"
-QUERIES = {**sequences.QUERIES, **mapping.QUERIES, **outputs.QUERIES}
-ORACLES = {**sequences.ORACLES, **mapping.ORACLES, **outputs.ORACLES}
+QUERIES = {**sequences.QUERIES, **mapping.QUERIES, **outputs.QUERIES, **files.QUERIES}
+ORACLES = {**sequences.ORACLES, **mapping.ORACLES, **outputs.ORACLES, **files.ORACLES}

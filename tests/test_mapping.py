@@ -323,3 +323,23 @@ def test_stream_maps_as_the_batch_does(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.pos for r in got.collect()) == list(range(1, 1200, 100))
+
+
+def test_command_line(spark, tmp_path):
+    from strandline.__main__ import arguments, config, run
+
+    ref = lcg(91, 1500)
+    (tmp_path / "r.fa").write_text(f">chr1 made up\n{ref[:700]}\n{ref[700:]}\n")
+    fq = "".join(f"@q{i}\n{ref[s : s + 80]}\n+\n{'I' * 80}\n@q{i}\n{rc(ref[s + 200 : s + 280])}\n+\n{'I' * 80}\n" for i, s in enumerate((50, 400, 900)))
+    (tmp_path / "q.fq").write_text(fq)
+    run(spark, arguments(["index", str(tmp_path / "r.fa"), str(tmp_path / "i")]))
+    run(spark, arguments(["mem", str(tmp_path / "i"), str(tmp_path / "q.fq"), "-p", "-x", "sr", "-I", "280,10", "-o", str(tmp_path / "s")]))
+    rows = sam.read_sam(spark, str(tmp_path / "s")).collect()
+    assert len(rows) == 6 and all(r.flag & 2 and abs(r.tlen) == 280 for r in rows)
+    run(spark, arguments(["mem", str(tmp_path / "i"), str(tmp_path / "q.fq"), "-x", "sr", "-o", str(tmp_path / "o.bam")]))
+    assert bam.read_bam(spark, str(tmp_path / "o.bam")).count() == 6
+    cfg = config(arguments(["mem", "i", "r", "-o", "x", "-B", "5", "-O", "4,4", "-k", "21", "-M", "-5", "-h", "3,7", "-R", "@RG\\tID:z"]))
+    assert (cfg.scoring.mismatch, cfg.scoring.gap_open, cfg.min_seed_len, cfg.xa_max_hits, cfg.mark_split_secondary, cfg.smallest_coord_primary, cfg.read_group.id) == (-5, -4, 21, 3, True, True, "z")
+    for bad in (["-H", "x"], ["-x", "bogus"], ["-I", "a"], ["-R", "ID:z"]):
+        with pytest.raises(ValueError):
+            config(arguments(["mem", "i", "r", "-o", "x", *bad]))
