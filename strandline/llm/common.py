@@ -49,3 +49,12 @@ def whole_text(name: str = "text") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def kept(df: DataFrame, condition) -> DataFrame:
+    """``df.where(condition)``, but never pushed below.
+
+    A filter on a computed column is moved towards the scan with all that it is computed from
+    written out again and again; rows are dropped here by an explode instead, which stays in place.
+    """
+    return df.withColumn("kept_", F.explode(F.when(condition, F.array(F.lit(True))))).drop("kept_")

@@ -3,9 +3,10 @@
 Lines within ``edits`` edits of each other are found among the distinct lines.  A line of length l is cut
 into edits + 1 segments; of two such lines one must hold a segment of the other unharmed, near the place
 it had.  Segments are indexed by (length, number, content); every line probes, for each length that a partner may have
-and each segment, only the substrings that the multi-match bounds leave.  Candidates that pass a count
-filter on common letters are verified by a banded bit-parallel edit distance: the band of 2 * edits + 1 diagonals
-is one machine word, moved down a row for each column.  Classes are connected components.
+and each segment, only the substrings that the multi-match bounds leave.  Keys that only one line has are dropped before
+any pair is made.  Pairs that share a key and whose character counts differ by no more than the edits allow are verified
+by a banded bit-parallel edit distance: the band of 2 * edits + 1 diagonals is one machine word, moved down a row for
+each column.  Classes are connected components.
 
 Rows: a null text counts as empty.  Lines are split at newlines and trimmed of blanks, tabs and returns.  Lines
 shorter than ``least`` characters are never linked or removed.  Rows that repeat exactly count as one document.
@@ -14,14 +15,22 @@ A null doc_id is a document too and sorts first.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stage, whole_text
+from .common import kept, stage, whole_text
 from .components import components
 
 EDITS = 2
 LEAST = 24
-LETTERS = " enrtiao"
+BLOOM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+#: Classes of characters that are counted, four bits each.
+FIELDS = 14
+MASK = (1 << 4 * FIELDS) - 1
+
+
+def line_id(line: str) -> Column:
+    """A hash of the line with the lowest bit zero."""
+    return F.xxhash64(line).bitwiseAND(F.lit(-2))
 
 
 def doc_lines(docs: DataFrame) -> DataFrame:
@@ -31,60 +40,63 @@ def doc_lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("line", F.btrim("line", F.lit(" \t\r")))
 
 
-def letter_counts(line: Column) -> Column:
-    """Counts of eight common letters, each modulo 16, in one int."""
-    n = lambda c: (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15))
-    out = n(LETTERS[0])
-    for i, c in enumerate(LETTERS[1:], 1):
-        out = out.bitwiseOR(F.shiftleft(n(c), 4 * i))
-    return out
+def char_counts(line: Column) -> Column:
+    """Counts of the characters of a line by code modulo FIELDS, as the sum of count * 16 ^ class, cut to MASK."""
+    units = F.array(*(F.lit(1 << 4 * i) for i in range(FIELDS)))
+    one = lambda c: F.element_at(units, (F.ascii(c) % FIELDS + 1))
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda s, c: (s + one(c)).bitwiseAND(F.lit(MASK)))
 
 
 def counts_near(a: Column, b: Column, edits: int) -> Column:
-    """Whether the letter counts differ by no more than ``edits`` edits can make them."""
-    total = F.lit(0)
-    for i in range(len(LETTERS)):
-        d = F.pmod(F.shiftrightunsigned(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * i).bitwiseAND(F.lit(15)), F.lit(16))
-        total = total + F.least(d, F.lit(16) - d)
-    return total <= 2 * edits
-
-
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(start from 0, length) of segment ``i``: even lengths, the longer ones last."""
-    parts = edits + 1
-    q, r = F.floor(length / parts).cast("int"), length % parts
-    short = F.lit(parts) - r  # how many segments have length q
-    start = F.lit(i) * q + F.greatest(F.lit(i) - short, F.lit(0))
-    return start, q + F.when(F.lit(i) >= short, 1).otherwise(0)
+    """Whether the character counts differ by no more than ``edits`` edits can make them.
 
+    The difference of two such sums holds the differences of the counts as signed digits; with 8 added to each
+    digit they can be read off, and are right whenever all are small, as they are for lines that near.
+    """
+    every = lambda n: sum(n << 4 * i for i in range(FIELDS))
+    digits = (a - b + F.lit(every(8))).bitwiseAND(F.lit(MASK))
+    negative = F.shiftrightunsigned(digits.bitwiseXOR(F.lit(every(8))).bitwiseAND(F.lit(every(8))), 3)
+    size = digits.bitwiseXOR(F.lit(every(8))).bitwiseXOR(negative * 15) + negative  # each digit's absolute value
+    low = sum(15 << 8 * i for i in range(FIELDS // 2))
+    total = size.bitwiseAND(F.lit(low)) + F.shiftrightunsigned(size, 4).bitwiseAND(F.lit(low))
+    for shift in (32, 16, 8):
+        total = total + F.shiftrightunsigned(total, shift)
+    return total.bitwiseAND(F.lit(255)) <= 2 * edits
 
-def index_keys(line: Column, n: Column, edits: int) -> Column:
-    out = []
-    for i in range(edits + 1):
-        start, size = _segment(n, i, edits)
-        out.append(F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size)))
-    return F.array(*out)
 
+def probes(edits: int) -> list[tuple[int, int, int, bool]]:
+    """(length less by, segment, shift, is it the line's own segment) of all substrings that a line probes.
 
-def probe_keys(line: Column, n: Column, edits: int, least: int) -> Column:
-    """Keys of the substrings that may match a segment of an equal or shorter line."""
+    A line's own segments are its index entries, and also what it probes at its own length without a shift.
+    """
     out = []
     for delta in range(edits + 1):
-        length = n - delta
         for i in range(edits + 1):
-            start, size = _segment(length, i, edits)
             low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                ok = (length >= least) & (at >= 0) & (at + size <= n)
-                out.append(F.when(ok, F.xxhash64(length, F.lit(i), F.substring(line, at + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+            out += [(delta, i, shift, not delta and not shift) for shift in range(low, high + 1)]
+    return out
+
+
+def keys(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """``lines(id, line, size)`` to (key, id, own): index entries (own) and probes."""
+    spec = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s"), F.lit(o).alias("own")) for d, i, s, o in probes(edits)))
+    each = lines.select("id", "line", "size", F.explode(spec).alias("p"))
+    parts, length = edits + 1, F.col("size") - F.col("p.d")
+    # Segments are as even as can be, the longer ones last.
+    each = each.select("id", "line", "size", "p", length.alias("length"), F.floor(length / parts).cast("int").alias("q"), (F.lit(parts) - length % parts).alias("short"))
+    start = F.col("p.i") * F.col("q") + F.greatest(F.col("p.i") - F.col("short"), F.lit(0)) + F.col("p.s")
+    size = F.col("q") + F.when(F.col("p.i") >= F.col("short"), 1).otherwise(0)
+    each = each.select("id", "line", "size", "p", "length", start.alias("at"), size.alias("n"))
+    each = each.where((F.col("length") >= least) & (F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("size")))
+    key = F.xxhash64("length", "p.i", F.substring("line", F.col("at") + 1, F.col("n")))
+    return each.select(key.alias("key"), "id", F.col("p.own").alias("own"))
 
 
 def within_edits(pairs: DataFrame, edits: int) -> DataFrame:
     """Keep the rows of ``pairs(..., a, b)`` whose texts are at most ``edits`` edits apart."""
     width, ones = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
-    p = pairs.withColumn("x_", F.when(F.length("a") >= F.length("b"), F.col("a")).otherwise(F.col("b")))
+    near = pairs.where(F.abs(F.length("a") - F.length("b")) <= edits)
+    p = near.withColumn("x_", F.when(F.length("a") >= F.length("b"), F.col("a")).otherwise(F.col("b")))
     p = p.withColumn("y_", F.when(F.length("a") >= F.length("b"), F.col("b")).otherwise(F.col("a")))
     p = p.withColumn("cx_", F.split("x_", "")).withColumn("cy_", F.split("y_", ""))
     # An equal beginning and end change nothing.
@@ -95,50 +107,62 @@ def within_edits(pairs: DataFrame, edits: int) -> DataFrame:
     p = p.withColumn("tail_", F.least(F.when(F.col("j_") == 0, F.col("n_")).otherwise(F.col("j_") - 1), F.col("n_") - F.col("head_")))
     middle = lambda t: F.substring(t, F.col("head_") + 1, F.length(t) - F.col("head_") - F.col("tail_"))
     p = p.withColumn("mx_", middle("x_")).withColumn("my_", middle("y_"))
-    p = p.withColumn("cx_", F.split("mx_", "")).withColumn("cy_", F.split("my_", ""))
-    p = p.withColumn("d_", (F.length("mx_") - F.length("my_"))).where(F.col("d_") <= edits)
+    p = p.withColumn("d_", F.length("x_") - F.length("y_"))
+    # A transform of one element gives a value a name within an expression, so that it is computed once.
+    named = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    flip = lambda v: v.bitwiseXOR(F.lit(ones))
 
-    def step(s, j):
+    def matches(t, s, j):
         # Bit k of the word stands for row j - edits + k of column j.
-        c = F.get(F.col("cy_"), j - 1)
-        match = F.lit(0).cast("long")
+        c, word = F.get(t["y"], j - 1), F.lit(0).cast("long")
         for k in range(width):
-            row = F.get(F.col("cx_"), j - F.lit(edits - k) - 1)
-            match = match + F.when(F.coalesce(row == c, F.lit(False)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-        return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["n"].alias("n"), match.alias("m"))
+            row = F.get(t["x"], j - F.lit(edits - k) - 1)
+            word = word + F.when(F.coalesce(row == c, F.lit(False)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
+        return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["n"].alias("n"), word.alias("m"))
 
-    def column(s):
+    def diagonals(s):
         vp, vn, m = s["vp"], s["vn"], s["m"]
         d0 = (m.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(m).bitwiseOR(vn).bitwiseAND(F.lit(ones))
         return F.struct(vp.alias("vp"), vn.alias("vn"), s["n"].alias("n"), d0.alias("d"))
 
-    def move(s):
+    def move(t, s):
         vp, vn, d0 = s["vp"], s["vn"], s["d"]
-        flip = lambda v: v.bitwiseXOR(F.lit(ones))
         hp = vn.bitwiseOR(flip(d0.bitwiseOR(vp)))
-        hn, down = d0.bitwiseAND(vp), F.shiftright(d0, 1)
-        up = hn.bitwiseOR(flip(down.bitwiseOR(hp)))
-        on_diagonal = F.call_function("shiftright", d0, F.lit(edits) + F.col("d_")).bitwiseAND(F.lit(1))
+        down = F.shiftright(d0, 1)
+        up = d0.bitwiseAND(vp).bitwiseOR(flip(down.bitwiseOR(hp)))
+        on_diagonal = F.call_function("shiftright", d0, F.lit(edits) + t["d"]).bitwiseAND(F.lit(1))
         return F.struct(up.alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["n"] + F.when(on_diagonal == 0, 1).otherwise(0)).alias("n"))
 
-    start = F.struct(F.lit(ones ^ ((1 << edits) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.col("d_").alias("n"))
-    # Three nested one-element transforms name the intermediate words, so that none is computed twice.
-    through = lambda s, f: F.get(F.transform(F.array(s), f), F.lit(0))
-    last = F.aggregate(F.sequence(F.lit(1), F.length("my_")), start, lambda s, j: through(through(step(s, j), column), move), lambda s: s["n"])
-    p = p.withColumn("edits_", F.when(F.length("my_") == 0, F.col("d_")).otherwise(last))
-    return p.where(F.col("edits_") <= edits).select(*pairs.columns)
+    def distance(t):
+        start = F.struct(F.lit(ones ^ ((1 << edits) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), t["d"].alias("n"))
+        step = lambda s, j: named(named(matches(t, s, j), diagonals), lambda v: move(t, v))
+        return F.aggregate(F.sequence(F.lit(1), F.size(t["y"])), start, step, lambda s: s["n"])
+
+    texts = F.struct(F.split("mx_", "").alias("x"), F.split("my_", "").alias("y"), F.col("d_").alias("d"))
+    p = p.withColumn("edits_", F.when(F.length("my_") == 0, F.col("d_")).otherwise(named(texts, distance)))
+    return kept(p, F.col("edits_") <= edits).select(*pairs.columns)
 
 
 def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """``lines(id, line)``, distinct and staged, to verified links (u, v) between ids."""
-    n = F.length("line")
-    known = lines.select("id", "line", n.alias("n"), letter_counts(F.col("line")).alias("counts")).where(F.col("n") >= least)
-    index = known.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("id").alias("u"), F.col("counts").alias("cu"))
-    probe = known.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits, least)).alias("key"), F.col("id").alias("v"), F.col("counts").alias("cv"))
-    met = index.join(probe, "key").where((F.col("u") != F.col("v")) & counts_near(F.col("cu"), F.col("cv"), edits))
-    pairs = stage(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-    asked = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = stage(known.select("id", "line").join(asked, "id"), "texts")
+    """``lines(id, line, size)``, distinct and staged, to verified links (u, v) between ids.  Ids are even."""
+    spark = lines.sparkSession
+    # The low bit of a row tells index entries; a key whose ids are all one line's is dropped.
+    rows = keys(lines, edits, least).select("key", F.col("id").bitwiseOR(F.col("own").cast("long")).alias("row"))
+    inside, line = Window.partitionBy("key"), F.shiftright("row", 1)
+    rows = rows.withColumn("a", F.min(line).over(inside)).withColumn("z", F.max(line).over(inside)).where("a <> z")
+    met = stage(rows.select("key", F.shiftleft(line, 1).alias("id"), (F.col("row").bitwiseAND(F.lit(1)) == 1).alias("own")), "met")
+    # No id is odd, so the filter keeps all; it lets Spark filter the lines by a Bloom filter of a bounded size before it shuffles them.
+    asked = stage(met.select("id").distinct(), "asked").where("id <> 1")
+    before = spark.conf.get(BLOOM)
+    spark.conf.set(BLOOM, "0")
+    try:
+        texts = stage(lines.join(asked, "id").select("id", "line", "size", char_counts(F.col("line")).alias("counts")), "texts")
+    finally:
+        spark.conf.set(BLOOM, before)
+    side = lambda x, c: x.join(texts.select("id", "size", "counts"), "id").select("key", F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("counts").alias(f"counts_{c}"))
+    longer = (F.col("size_v") > F.col("size_u")) | ((F.col("size_v") == F.col("size_u")) & (F.col("v") > F.col("u")))
+    pairs = side(met.where("own"), "u").join(side(met, "v"), "key").where(longer & counts_near(F.col("counts_u"), F.col("counts_v"), edits))
+    pairs = stage(pairs.select("u", "v").distinct(), "candidates")
     full = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
     return within_edits(full, edits).select("u", "v")
 
@@ -149,10 +173,10 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Dat
     The first line of a class, by (doc_id, row_hash, line_no), is kept.  Lines too short to link have a null class_id.
     """
     lines = doc_lines(docs)
-    known = lines.where(F.length("line") >= least).groupBy("line").agg(F.count("*").alias("n")).select(F.xxhash64("line").alias("id"), "line", "n")
-    known = stage(known, "lines")
+    known = lines.where(F.length("line") >= least).select("line").distinct()
+    known = stage(known.select(line_id("line").alias("id"), "line", F.length("line").alias("size")), "lines")
     comp = stage(components(line_links(known, edits, least)), "classes")
-    places = lines.select("doc_id", "row_hash", "line_no", F.when(F.length("line") >= least, F.xxhash64("line")).alias("id"))
+    places = lines.select("doc_id", "row_hash", "line_no", F.when(F.length("line") >= least, line_id("line")).alias("id"))
     places = places.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("class_id", F.coalesce("label", "id")).drop("label", "id")
     places = stage(places, "line_places")
     here = F.struct("doc_id", "row_hash", "line_no")
