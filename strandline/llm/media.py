@@ -138,8 +138,11 @@ def write_store(docs: DataFrame) -> DataFrame:
 def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
     """``lists(media_sha, chunks)``, distinct, to verified (media_sha, values read back)."""
     ordered = lists.select("media_sha", F.size("chunks").alias("n"), F.posexplode("chunks").alias("pos", "digest"))
-    found = ordered.join(store, "digest")
-    whole = found.groupBy("media_sha").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "digest", "data"))).alias("parts"))
+    found = ordered.join(store, "digest").select("media_sha", "n", F.struct("pos", "digest", "data").alias("part"))
+    # A file of one chunk is whole where the join finds it; only the others move once more.
+    whole = found.where("n = 1").select("media_sha", "n", F.array("part").alias("parts"))
+    several = found.where("n > 1").groupBy("media_sha").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("part")).alias("parts"))
+    whole = whole.unionByName(several)
 
     def run(batches):
         for b in batches:
