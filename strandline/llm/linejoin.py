@@ -181,6 +181,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Dat
     places = stage(places, "line_places")
     here = F.struct("doc_id", "row_hash", "line_no")
     keep = places.where("class_id is not null").groupBy("class_id").agg(F.min(here).alias("k"), F.count("*").alias("n")).where("n > 1").select("class_id", "k")
+    keep = stage(keep, "keep")  # a table of its own, so that a class with very many places can be split in the join
     rows = places.join(keep, "class_id", "left")
     kept = lambda c: F.when(F.col("k").isNull(), F.col(c)).otherwise(F.col(f"k.{c}"))
     removed = F.col("k").isNotNull() & ~F.struct(*(F.col(c) for c in ("doc_id", "row_hash", "line_no"))).eqNullSafe(F.col("k"))
