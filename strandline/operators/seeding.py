@@ -9,6 +9,8 @@ from .index import kmers
 
 #: Up to this many seeds per k-mer and contig are joined; matches are capped by ``max_occ`` afterwards.
 KMER_CAP = 10_000
+#: Reads of so many bases in all have at most twice as many k-mers, some tens of MB.
+BROADCAST_BASES = 250_000
 
 
 def stranded(reads: DataFrame) -> DataFrame:
@@ -20,10 +22,12 @@ def stranded(reads: DataFrame) -> DataFrame:
 def seed_hits(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """(read_id, strand, ref_id, qpos, rpos) of all k-mers that a read and a contig share.
 
-    The reference side is exploded where it is scanned, and only k-mers that some read has
-    are shuffled further if Spark finds the other side small enough to broadcast.
+    The reference side is exploded where it is scanned.  The bases of the reads are summed first: up to
+    BROADCAST_BASES their k-mers are broadcast and the reference is not shuffled; beyond, both sides are.
     """
     q = kmers(stranded(reads), ["read_id", "strand"], k).withColumnRenamed("pos", "qpos")
+    if (reads.agg(F.sum(F.length("seq"))).first()[0] or 0) <= BROADCAST_BASES:
+        q = F.broadcast(q)
     r = kmers(refs, ["ref_id"], k).withColumnRenamed("pos", "rpos")
     return r.join(q, "kmer").select("read_id", "strand", "ref_id", "qpos", "rpos")
 
