@@ -9,7 +9,8 @@ by a banded bit-parallel edit distance: the band of 2 * edits + 1 diagonals is o
 each column.  Classes are connected components.
 
 Rows: a null text counts as empty.  Lines are split at newlines and trimmed of blanks, tabs and returns.  Lines
-shorter than ``least`` characters are never linked or removed.  Rows that repeat exactly count as one document.
+shorter than ``least`` characters take no part in the edit join: those of at least ``shortest`` characters are classed by
+equality, and shorter ones are never linked or removed.  Rows that repeat exactly count as one document.
 A null doc_id is a document too and sorts first.  An empty table gives no rows.
 """
 
@@ -22,6 +23,8 @@ from .components import components
 
 EDITS = 2
 LEAST = 24
+#: Lines from this length on are classed by the query and the pipeline: all that are not empty.
+SHORTEST = 1
 BLOOM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
 #: Classes of characters that are counted, four bits each.
 FIELDS = 14
@@ -167,16 +170,18 @@ def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     return within_edits(full, edits).select("u", "v")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, shortest: int | None = None) -> DataFrame:
     """A row per line: doc_id, row_hash, line_no, class_id, kept_doc_id, kept_line_no, removed.
 
-    The first line of a class, by (doc_id, row_hash, line_no), is kept.  Lines too short to link have a null class_id.
+    The first line of a class, by (doc_id, row_hash, line_no), is kept.  Lines under ``shortest`` characters (``least``
+    if it is None) have a null class_id.
     """
+    shortest = least if shortest is None else shortest
     lines = doc_lines(docs)
     known = lines.where(F.length("line") >= least).select("line").distinct()
     known = stage(known.select(line_id("line").alias("id"), "line", F.length("line").alias("size")), "lines")
     comp = stage(components(line_links(known, edits, least)), "classes")
-    places = lines.select("doc_id", "row_hash", "line_no", F.when(F.length("line") >= least, line_id("line")).alias("id"))
+    places = lines.select("doc_id", "row_hash", "line_no", F.when(F.length("line") >= shortest, line_id("line")).alias("id"))
     places = places.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("class_id", F.coalesce("label", "id")).drop("label", "id")
     places = stage(places, "line_places")
     here = F.struct("doc_id", "row_hash", "line_no")
@@ -188,12 +193,12 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Dat
     return rows.select("doc_id", "row_hash", "line_no", "class_id", kept("doc_id").alias("kept_doc_id"), kept("line_no").cast("int").alias("kept_line_no"), removed.alias("removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, shortest: int | None = None) -> DataFrame:
     """``docs`` without the removed lines, with the columns it had; ``n_chars``, if there, follows.
 
     A document goes if lines were removed from it and nothing but white space is left.
     """
-    gone = line_classes(docs.select("doc_id", "text"), edits, least).where("removed")
+    gone = line_classes(docs.select("doc_id", "text"), edits, least, shortest).where("removed")
     gone = gone.groupBy(F.col("doc_id").alias("d_"), F.col("row_hash").alias("h_")).agg(F.collect_set("line_no").alias("gone_"))
     key = docs.withColumn("mine_", F.xxhash64(whole_text()))
     rows = key.join(gone, (F.col("mine_") == F.col("h_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("d_")), "left")

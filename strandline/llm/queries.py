@@ -45,7 +45,7 @@ def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linejoin.line_classes(table(spark, sf_dir, "documents")).drop("row_hash")
+    return linejoin.line_classes(table(spark, sf_dir, "documents"), shortest=linejoin.SHORTEST).drop("row_hash")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 
 import corpus_pipeline
 from strandline.llm import nearcopies, simhash
+from strandline.llm.queries import op7_lines
 
 from test_near import DOCS, closure, frame, prose
 
@@ -48,3 +49,15 @@ def test_similarity_of_whole_texts_is_exact_in_slices(monkeypatch):
     sets = [np.unique(np.r_[base[: 300 - k], rng.choice(10**6, k)]).astype(np.uint64) for k in (0, 10, 20, 34, 60, 200)]
     want = [[jaccard(set(a.tolist()), set(b.tolist())) >= 0.8 for b in sets] for a in sets]
     assert nearcopies.alike(pa.table({"grams": [s.tobytes() for s in sets]})).tolist() == want
+
+
+def test_short_lines_are_classed_by_equality(spark, tmp_path):
+    long = "a line that is long enough for the edit join"
+    rows = [(1, f"Les.\n{long}\n\nLes", "en", "s", 1), (2, f"Les.\n{long}!\n\nown", "en", "s", 1), (3, " Les. \nx", "en", "s", 1), (4, "Les.", "en", "s", 4)]
+    frame(spark, rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op7_lines(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.line_no) for r in got if r.removed) == [(2, 0), (2, 1), (3, 0), (4, 0)]
+    assert all((r.kept_doc_id, r.kept_line_no) == (1, r.line_no) for r in got if r.removed)
+    assert sorted((r.doc_id, r.line_no) for r in got if r.class_id is None) == [(1, 2), (2, 2)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, frame(spark, rows, DOCS), None).collect()}
+    assert out == {1: rows[0][1], 2: "\nown", 3: "x"}
