@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage
+from .common import discard, stage
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -42,8 +42,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = stage(large, "large")
         low = _minima(large)
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        old, e = e, stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
         after = _signature(e)
+        discard(old, large)
         if after == before:
             break
         before = after

@@ -12,7 +12,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .common import stage
 
 #: Members of a chunk.
 CHUNK = 128
@@ -52,17 +54,28 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
+def sized(members: DataFrame) -> DataFrame:
+    """``members(bucket, id)``, distinct, with ``size``, the members of their bucket; lone ones go.
+
+    Sizes are counted with partial sums and joined back as a table of their own, so no task holds a bucket and
+    AQE can split a large one.
+    """
+    n = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    return members.join(stage(n, "sizes"), "bucket")
+
+
 def bucket_links(members: DataFrame, near: Callable[[pa.Table], np.ndarray], chunk: int = CHUNK) -> DataFrame:
     """``members(bucket long, id long, ...)``, distinct in (bucket, id), to links ``(u, v)``.
 
-    ``near`` gets the members of a block and returns their symmetric boolean matrix.
+    ``near`` gets the members of a block and returns their symmetric boolean matrix.  Members that come with the
+    ``size`` of their bucket are not counted again.
     """
-    n = F.count("*").over(Window.partitionBy("bucket"))
-    m = members.withColumn("n_", n).where("n_ > 1").withColumn("c_", F.ceil(F.col("n_") / chunk).cast("int"))
+    m = members if "size" in members.columns else sized(members)
+    m = m.withColumn("c_", F.ceil(F.col("size") / chunk).cast("int"))
     mine = F.pmod(F.xxhash64("id"), F.col("c_")).cast("int")
     m = m.withColumn("mine_", mine).withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("c_") - 1)))
     m = m.withColumn("lo", F.least("mine_", "other_")).withColumn("hi", F.greatest("mine_", "other_"))
-    m = m.drop("n_", "c_", "mine_", "other_").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    m = m.drop("size", "c_", "mine_", "other_").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
     def run(batches):
         for t in _groups(batches):

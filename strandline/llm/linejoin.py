@@ -18,14 +18,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import kept, stage, whole_text
+from .common import BLOOM, as_row, kept, row_column, stage, unpacked, whole_text
 from .components import components
 
 EDITS = 2
 LEAST = 24
 #: Lines from this length on are classed by the query and the pipeline: all that are not empty.
 SHORTEST = 1
-BLOOM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
 #: Classes of characters that are counted, four bits each.
 FIELDS = 14
 MASK = (1 << 4 * FIELDS) - 1
@@ -199,13 +198,15 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST,
     A document goes if lines were removed from it and nothing but white space is left.
     """
     gone = line_classes(docs.select("doc_id", "text"), edits, least, shortest).where("removed")
-    gone = gone.groupBy(F.col("doc_id").alias("d_"), F.col("row_hash").alias("h_")).agg(F.collect_set("line_no").alias("gone_"))
-    key = docs.withColumn("mine_", F.xxhash64(whole_text()))
-    rows = key.join(gone, (F.col("mine_") == F.col("h_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("d_")), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone_", i))
-    cut = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    rows = rows.withColumn("text", cut).where(F.col("gone_").isNull() | (F.length(F.btrim("text", F.lit(" \t\r\n"))) > 0))
+    gone = gone.groupBy(F.struct("doc_id", "row_hash").alias("gone_from")).agg(F.collect_set("line_no").alias("gone"))
+    at = F.col("gone_from")
+    mine = as_row(docs, hash_=F.xxhash64(whole_text()))
+    rows = mine.join(gone, (F.col("hash_") == at["row_hash"]) & row_column("doc_id").cast("long").eqNullSafe(at["doc_id"]), "left")
+    text, untouched = row_column("text"), F.col("gone").isNull()
+    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i))
+    rows = rows.select("row_", untouched.alias("untouched"), F.when(untouched, text).otherwise(F.array_join(left, "\n")).alias("left"))
+    rows = rows.where(F.col("untouched") | (F.length(F.btrim("left", F.lit(" \t\r\n"))) > 0))
+    new = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("gone_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("untouched"), row_column("n_chars")).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType))
+    return unpacked(rows, docs.columns, **new)

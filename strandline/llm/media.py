@@ -28,6 +28,8 @@ SIDE = 24
 FRAME = SIDE * SIDE
 PAD = b"\xff"
 LEAST, TOP_BITS, MOST = 1024, 12, 32768
+#: A digest with at least so many uses may be hot; so many digests at most are.
+HOT, HOT_DIGESTS = 100, 256
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -120,10 +122,14 @@ def _bytes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
 
 
-def write_store(docs: DataFrame) -> DataFrame:
-    """Write each distinct chunk once, bucketed by digest, and read the table back."""
+def store_name() -> str:
+    return f"strandline_chunks_{uuid.uuid4().hex}"
+
+
+def write_store(docs: DataFrame, name: str | None = None) -> DataFrame:
+    """Write each distinct chunk once, bucketed by digest, into a table of the warehouse, and read it back."""
     spark = docs.sparkSession
-    name = f"strandline_chunks_{uuid.uuid4().hex}"
+    name = name or store_name()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once = chunk_rows(docs).groupBy("digest").agg(F.first("data").alias("data")).repartition(n, "digest")
     before = spark.conf.get(CLEANUP, "false")
@@ -135,10 +141,24 @@ def write_store(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+def fetched(ordered: DataFrame, store: DataFrame) -> DataFrame:
+    """``ordered(digest, ...)`` with the chunks of their digests.
+
+    The store is bucketed and is not shuffled, so AQE cannot split a digest that very many files share.  Digests with
+    over a 256th of all places, of which there are at most 256 of MOST bytes each, are therefore broadcast.
+    """
+    uses = ordered.groupBy("digest").agg(F.count("*").alias("uses"))
+    uses = stage(uses.where(F.col("uses") >= HOT), "uses")
+    least = max(HOT, -(-ordered.count() // HOT_DIGESTS))
+    hot = stage(store.join(F.broadcast(uses.where(F.col("uses") >= least)), "digest", "left_semi"), "hot")
+    known = F.broadcast(hot.select("digest"))
+    return ordered.join(known, "digest", "left_anti").join(store, "digest").unionByName(ordered.join(F.broadcast(hot), "digest"))
+
+
 def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
     """``lists(media_sha, chunks)``, distinct, to verified (media_sha, values read back)."""
     ordered = lists.select("media_sha", F.size("chunks").alias("n"), F.posexplode("chunks").alias("pos", "digest"))
-    found = ordered.join(store, "digest").select("media_sha", "n", F.struct("pos", "digest", "data").alias("part"))
+    found = fetched(ordered, store).select("media_sha", "n", F.struct("pos", "digest", "data").alias("part"))
     # A file of one chunk is whole where the join finds it; only the others move once more.
     whole = found.where("n = 1").select("media_sha", "n", F.array("part").alias("parts"))
     several = found.where("n > 1").groupBy("media_sha").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("part")).alias("parts"))
@@ -170,8 +190,13 @@ _KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` to a row per document with what was read back for it."""
+    """``docs(doc_id, text)`` to a row per document with what was read back for it.  The store goes afterwards."""
     lists = stage(recipes(docs), "recipes")
-    store = write_store(docs)
-    values = stage(read_media(lists.select("media_sha", "chunks").dropDuplicates(["media_sha"]), store), "media")
+    name = store_name()
+    try:
+        store = write_store(docs, name)
+        once = stage(lists.select("media_sha", "chunks").dropDuplicates(["media_sha"]), "lists")
+        values = stage(read_media(once, store), "media")
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     return lists.select("doc_id", "media_sha").join(values, "media_sha").drop("media_sha")

@@ -8,14 +8,15 @@ documents in key order, the last of them in part.
 
 Rows: the size of a null text is 0.  A null source is a source, the last one.  A null doc_id is
 a document like any other.  Rows that repeat exactly are interchangeable, and each is mixed.
-An empty table gives no rows.  With no words at all, every target is 0.
+An empty table gives no rows.  With no words at all, every target is 0.  Other columns, whatever their
+names, take no part and are carried along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, stage
+from .common import WORD, as_row, row_column, stage, unpacked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -23,10 +24,15 @@ MOST = 3
 RANGES = 4096
 
 
+def sort_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """The hash-random key of a document."""
+    return F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("long"), F.lit(-1)), text)
+
+
 def sizes(docs: DataFrame, seed: int = 42) -> DataFrame:
     """``docs(doc_id, text, source)`` to (doc_id, source, size, key, bytes), a row per document."""
     size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long")
-    key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("text"))
+    key = sort_key(F.col("doc_id"), F.col("text"), seed)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"))
 
 
@@ -80,21 +86,23 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     A document taken in part keeps its first words, up to the budget; ``n_chars``, if there, follows.
     """
     plan = mix(docs.select("doc_id", "text", "source"), weights, most, seed)
-    plan = plan.where("taken > 0").select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), "key", "size", "taken")
     # Rows that repeat exactly share a key; number them on both sides so that each meets its own plan.
-    same = Window.partitionBy("d_", "s_", "key").orderBy("taken")
-    plan = plan.withColumn("n_", F.row_number().over(same)).drop("s_").withColumnRenamed("key", "k_")
-    mine = docs.withColumn("key_", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("text")))
-    mine = mine.withColumn("no_", F.row_number().over(Window.partitionBy("doc_id", "source", "key_").orderBy(F.lit(0))))
-    rows = mine.join(plan, (F.col("key_") == F.col("k_")) & (F.col("no_") == F.col("n_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("d_")))
-    whole = (F.col("taken") / F.col("size")).cast("int")
-    rest = (F.col("taken") - whole * F.col("size")).cast("int")
+    same = Window.partitionBy("doc_id", "source", "key").orderBy("taken")
+    plan = plan.where("taken > 0").withColumn("number", F.row_number().over(same))
+    plan = plan.select(F.struct(F.col("doc_id").alias("d"), "key", "number").alias("plan_at"), F.col("size").alias("plan_size"), F.col("taken").alias("plan_taken"))
+    doc_id = row_column("doc_id").cast("long")
+    mine = as_row(docs, key_=sort_key(F.col("doc_id"), F.col("text"), seed))
+    number = F.row_number().over(Window.partitionBy(doc_id, row_column("source").cast("string"), "key_").orderBy(F.lit(0)))
+    mine = mine.withColumn("number_", number)
+    at = F.col("plan_at")
+    rows = mine.join(plan, (F.col("key_") == at["key"]) & (F.col("number_") == at["number"]) & doc_id.eqNullSafe(at["d"]))
+    whole = (F.col("plan_taken") / F.col("plan_size")).cast("int")
+    rest = (F.col("plan_taken") - whole * F.col("plan_size")).cast("int")
     times = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("times_", F.explode(times))
-    cut = F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col("times_")), "")
-    text = F.when(F.col("times_") < 0, F.col("text")).otherwise(cut)
-    rows = rows.withColumn("text", text)
+    rows = rows.select("row_", F.explode(times).alias("times_"))
+    text = row_column("text")
+    cut = F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col("times_")), "")
+    new = {"text": F.when(F.col("times_") < 0, text).otherwise(cut)}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("times_") < 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("times_") < 0, row_column("n_chars")).otherwise(F.length(new["text"]).cast(docs.schema["n_chars"].dataType))
+    return unpacked(rows, docs.columns, **new)

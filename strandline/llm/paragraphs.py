@@ -1,19 +1,21 @@
 """Substring dedup by paragraph MinHash banding.
 
-Passages that repeat may begin and end in the middle of lines, so paragraphs are found by content:
-anchors are sentence starts, line starts and words whose hash is divisible by 16; an anchor whose
-hash is the least within a few words on either side is kept; and a paragraph is the run of words that
-begins there.  Equal passages thus hold equal paragraphs wherever they stand, and neighbouring paragraphs of a
-document are too far apart to be alike.
-
-Equal paragraphs are one node.  MinHash values of word shingles are banded with two rows a band, so that
-a pair at the threshold meets with probability over 0.98; colliding nodes are verified by exact Jaccard
-similarity of their shingles; classes are connected components.  The first member of a class, by
-(doc_id, start), stays and the others are removed.
+Passages that repeat may begin and end in the middle of lines, so paragraphs are found by content.  Of each run of
+GAP shingles the one with the least hash is an anchor, so anchors are at most GAP words apart; one within NEAR words of
+the anchor before it, or of the end, is merged with that.  A paragraph is the run of WORDS words that begins at an anchor.  The first and
+the last words of a text are paragraphs too, so paragraphs cover every word.  A run of GAP + WORDS words or more
+that two texts share has the same least shingle in both, and so holds a paragraph that is equal in both, or
+shifted by NEAR words at most, where the anchors around it differ, and then alike by the similarity that is asked for.
+
+MinHash values of word shingles are banded with two rows a band, so that a pair at the threshold meets with
+probability over 0.98; colliding nodes, which are the distinct paragraphs, are verified by exact Jaccard
+similarity of their shingles; classes are connected components.  A class with two places that do not overlap, in two documents
+or in one, is reported with all its places.  The first place, by (doc_id, start), stays; those that do not overlap it
+are removed.
 
 Rows: a null or empty text has no paragraph, as has a text of fewer than ``least`` words; one shorter
 than a paragraph is a single paragraph.  Rows that repeat exactly count as one document.  A null doc_id is a
-document too and sorts first.  An empty table gives no rows.
+document too and sorts first.  An empty table gives no rows.  Columns other than doc_id and text take no part.
 """
 
 from __future__ import annotations
@@ -22,19 +24,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import stage, whole_text
+from .common import BLOOM, stage, whole_text
 from .components import components
-from .forest import bucket_links
+from .forest import bucket_links, sized
 from .simhash import LOWER
 
-WORDS, LEAST, SHINGLE, SIMILARITY = 25, 20, 5, 0.8
-NEAR = 10  # words on either side of an anchor that is kept
+WORDS, LEAST, SHINGLE, SIMILARITY = 26, 20, 5, 0.8
+GAP, NEAR = 24, 2
 BANDS, ROWS = 4, 2
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
-STOP = np.array([chr(b) in ".!?" for b in range(256)])
 _rng = np.random.default_rng(5)
 SCALE = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFT = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -69,9 +70,6 @@ class Words:
         sums = np.r_[np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(raw)), dtype=np.uint64)]
         back = powers(pow(BASE, -1, 1 << 64), len(raw))[self.starts]
         self.hash = blend((sums[self.ends] - sums[self.starts]) * back)
-        lines = np.r_[0, np.cumsum(raw == 10)]
-        fresh = np.r_[True, STOP[raw[self.ends[:-1] - 1]] | (lines[self.starts[1:]] > lines[self.ends[:-1]])]
-        self.anchors = fresh | (self.hash % np.uint64(16) == 0)
 
     def grams(self, k: int) -> np.ndarray:
         """Hashes of the runs of k words; of the whole text if it is shorter."""
@@ -82,21 +80,27 @@ class Words:
         return blend(out)
 
 
-def paragraphs(w: Words, size: int = WORDS, least: int = LEAST, near: int = NEAR) -> np.ndarray:
+def paragraphs(w: Words, size: int = WORDS, least: int = LEAST, gap: int = GAP, near: int = NEAR) -> np.ndarray:
     """The first words of the paragraphs of a text."""
-    if w.n < size:
+    if w.n <= size:
         return np.zeros(int(w.n >= least), np.int64)
-    every = np.flatnonzero(w.anchors)
-    last = np.uint64(0xFFFFFFFFFFFFFFFF)
-    value = np.where(every > w.n - SHINGLE, last, w.grams(SHINGLE)[np.minimum(every, w.n - SHINGLE)])
-    # Strictly less than before and no more than after, so that of equal neighbours one is kept.
-    low, high = np.searchsorted(every, every - near), np.searchsorted(every, every + near, side="right")
-    here, padded = np.arange(len(every)), np.r_[value, last]
-    before = np.where(low < here, np.minimum.reduceat(padded, np.stack([low, np.maximum(here, low + 1)], 1).ravel())[::2], last)
-    after = np.minimum.reduceat(padded, np.stack([here, high], 1).ravel())[::2]
-    at = every[(value < before) & (value <= after)]
-    at = at[at <= w.n - size]
-    return at if len(at) else every[[int(np.argmin(value[every <= w.n - size]))]]
+    value, end = w.grams(SHINGLE), w.n - size
+    if len(value) > gap:
+        runs = np.lib.stride_tricks.sliding_window_view(value, gap)
+        at = np.unique(np.arange(len(runs)) + runs.argmin(1))  # of equal values the first
+    else:
+        at = np.array([int(value.argmin())])
+    every = np.unique(np.r_[0, at[at < end - near]])
+    close = np.flatnonzero(np.diff(every) <= near) + 1
+    if len(close):  # few: of anchors that are close to each other, each is measured from the last one that stays
+        keep = np.ones(len(every), bool)
+        for i in close.tolist():
+            j = i - 1
+            while not keep[j]:
+                j -= 1
+            keep[i] = every[i] - every[j] > near
+        every = every[keep]
+    return np.r_[every, end]
 
 
 def band_keys(w: Words, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +116,16 @@ def band_keys(w: Words, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return blend(whole), bands
 
 
+BAND_NAMES = [f"band{i}" for i in range(BANDS)]
+PLACES = "doc_id long, row_hash long, start int, words int, node long, " + ", ".join(f"{b} long" for b in BAND_NAMES)
+
+
 def find(docs: DataFrame, size: int = WORDS, least: int = LEAST) -> DataFrame:
-    """``docs(doc_id, text)`` to a row per paragraph: doc_id, row_hash, start, words, node, bands."""
+    """``docs(doc_id, text)`` to a row per paragraph: doc_id, row_hash, start, words, node and its bands."""
 
     def run(batches):
         for b in batches:
-            ids, marks, texts = (c.to_pylist() for c in b.columns)
+            texts = b.column(2).to_pylist()
             parts = []
             for i, text in enumerate(texts):
                 w = Words(text)
@@ -125,12 +133,11 @@ def find(docs: DataFrame, size: int = WORDS, least: int = LEAST) -> DataFrame:
                     parts.append((np.full(len(at), i), at, np.full(len(at), min(size, w.n)), *band_keys(w, at, size)))
             if parts:
                 row, at, n, node, bands = (np.concatenate(x) for x in zip(*parts))
-                take = pa.array(row)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(node.view(np.int64)), lists], ["doc_id", "row_hash", "start", "words", "node", "bands"])
+                take, long = pa.array(row), lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int32()), pa.array(n, pa.int32()), long(node), *map(long, bands.T)], [c.split()[0] for c in PLACES.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("row_hash"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row_hash long, start int, words int, node long, bands array<long>")
+    return rows.mapInArrow(run, PLACES)
 
 
 def shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -164,30 +171,48 @@ def alike(t: pa.Table, similarity: float = SIMILARITY) -> np.ndarray:
     return both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
 
 
+def colliding(places: DataFrame) -> DataFrame:
+    """(bucket, id, size): the distinct nodes that share a bucket with other nodes.
+
+    Buckets are told by partial sums first; a Bloom filter of those with several nodes, of a bounded size, then keeps the
+    other keys from being shuffled, and AQE can split a bucket that very many paragraphs share.
+    """
+    spark = places.sparkSession
+    keys = places.select("node", F.explode(F.array(*BAND_NAMES)).alias("bucket"))
+    ends = keys.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"))
+    several = stage(ends.where("a <> z").select("bucket"), "several")
+    before = spark.conf.get(BLOOM)
+    spark.conf.set(BLOOM, "0")
+    try:
+        met = stage(keys.join(several, "bucket").select("bucket", F.col("node").alias("id")).distinct(), "met")
+    finally:
+        spark.conf.set(BLOOM, before)
+    return sized(met)
+
+
 def repeats(docs: DataFrame, size: int = WORDS, least: int = LEAST, similarity: float = SIMILARITY) -> DataFrame:
-    """Paragraphs that repeat across documents, a row for each place.
+    """Paragraphs that repeat across documents or within one, a row for each place.
 
-    ``docs(doc_id, text)`` to (doc_id, row_hash, start_word, n_words, class_id, kept_doc_id, removed).
+    ``docs(doc_id, text)`` to (doc_id, row_hash, start_word, n_words, class_id, kept_doc_id, kept_start_word, removed).
     """
     places = stage(find(docs, size, least), "places")
-    first = F.min(F.struct("doc_id", "row_hash", "start", "words")).alias("first")
-    last = F.max(F.struct("doc_id", "row_hash")).alias("last")
-    nodes = places.groupBy("node").agg(first, last, F.first("bands").alias("bands"))
-    nodes = stage(nodes, "nodes")
-    # A bucket whose nodes all belong to one document holds nothing to compare.
-    who = lambda c: F.struct(F.col(f"{c}.doc_id"), F.col(f"{c}.row_hash"))
-    owner = F.when(who("first").eqNullSafe(F.col("last")), F.xxhash64("last")).otherwise(F.xxhash64("node"))
-    keys = nodes.select("node", owner.alias("owner"), F.explode("bands").alias("bucket"))
-    inside = Window.partitionBy("bucket")
-    near = keys.withColumn("a", F.min("owner").over(inside)).withColumn("z", F.max("owner").over(inside)).where("a <> z")
-    near = stage(near.select("bucket", F.col("node").alias("id")).distinct(), "near")
-    wanted = nodes.join(near.select(F.col("id").alias("node")).distinct(), "node").select("first.*", "node")
-    members = near.join(shingles(docs, wanted).withColumnRenamed("node", "id"), "id").select("bucket", "id", "grams")
-    comp = components(bucket_links(members, lambda t: alike(t, similarity)))
-    named = nodes.select("node", "first", "last").join(comp, "node", "left").withColumn("class_id", F.coalesce("label", "node"))
-    classes = named.groupBy("class_id").agg(F.min("first").alias("keeper"), F.max("last").alias("last"))
-    classes = classes.where(~who("keeper").eqNullSafe(F.col("last")))
-    found = stage(named.join(classes.select("class_id", "keeper"), "class_id").select("node", "class_id", "keeper"), "found")
-    rows = places.drop("bands").join(found, "node")
-    here = F.struct("doc_id", "row_hash", "start", "words")
-    return rows.select("doc_id", "row_hash", F.col("start").alias("start_word"), F.col("words").alias("n_words"), "class_id", F.col("keeper.doc_id").alias("kept_doc_id"), (~here.eqNullSafe(F.col("keeper"))).alias("removed"))
+    met = stage(colliding(places), "met_sized")
+    where = places.select("node", F.struct("doc_id", "row_hash", "start", "words").alias("here"))
+    asked = stage(met.select(F.col("id").alias("node")).distinct(), "asked")
+    wanted = stage(where.join(asked, "node").groupBy("node").agg(F.min("here").alias("here")).select("here.*", "node"), "wanted")
+    members = met.join(shingles(docs, wanted).withColumnRenamed("node", "id"), "id").select("bucket", "id", "size", "grams")
+    comp = stage(components(bucket_links(members, lambda t: alike(t, similarity))), "classes")
+    # Only nodes with two places or with links can be of a class that repeats.
+    many = where.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    named = many.join(comp, "node", "full").select("node", F.coalesce("label", "node").alias("class_id"))
+    found = stage(where.join(stage(named, "named"), "node").select("class_id", "here"), "found")
+    ends = found.groupBy("class_id").agg(F.min("here").alias("first"), F.max("here").alias("last"))
+    one = F.struct("first.doc_id", "first.row_hash").eqNullSafe(F.struct("last.doc_id", "last.row_hash"))
+    ends = ends.where(~(one & (F.col("last.start") < F.col("first.start") + F.col("first.words"))))
+    rows = found.join(stage(ends.select("class_id", "first"), "keepers"), "class_id").select("class_id", "first", "here.*")
+    same = F.struct("doc_id", "row_hash").eqNullSafe(F.struct("first.doc_id", "first.row_hash"))
+    stays = same & (F.col("start") < F.col("first.start") + F.col("first.words"))
+    return rows.select(
+        "doc_id", "row_hash", F.col("start").alias("start_word"), F.col("words").alias("n_words"), "class_id",
+        F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start_word"), (~stays).alias("removed"),
+    )

@@ -8,7 +8,7 @@ expressions over whole texts; only the statistics of the sample reach the driver
 Rows: a null text counts as empty, and an empty text has statistics of zero, so it gets a
 score like any other.  A null doc_id is scored but never learnt from.  Repeated rows get
 equal scores.  A label that is null is skipped; without labels of both classes the score
-is the smoothed share of label 1.
+is the smoothed share of label 1.  Columns other than doc_id and text take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import whole_text
+from .common import as_row, kept, row_column, unpacked
 
 #: Labelled rows that the trees and the weights are fitted on, at most.
 SAMPLE = 20_000
@@ -30,9 +30,10 @@ def _count(text: Column, chars: str) -> Column:
     return sum((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in chars[1:]), F.length(text) - F.length(F.replace(text, F.lit(chars[0]), F.lit(""))))
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the text replaced by ``stats``, an array of doubles in the order of NAMES."""
-    base = docs.withColumn("t_", whole_text(text))
+def statistics(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with ``stats``, an array of doubles in the order of NAMES, of ``text``."""
+    names = rows.columns
+    base = rows.withColumn("t_", F.coalesce(text.cast("string"), F.lit("")))
     base = base.withColumn("w_", F.filter(F.split("t_", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     raw = {
         "chars": F.length("t_"),
@@ -47,7 +48,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "upper": F.regexp_count("t_", F.lit("[A-Z]")),
         "digits": F.regexp_count("t_", F.lit("[0-9]")),
     }
-    base = base.select(*[c for c in docs.columns if c != text], F.struct(*(v.cast("double").alias(k) for k, v in raw.items())).alias("r_"))
+    base = base.select(*names, F.struct(*(v.cast("double").alias(k) for k, v in raw.items())).alias("r_"))
     r = lambda k: F.col(f"r_.{k}")
     share = lambda a, b: F.when(r(b) > 0, r(a) / r(b)).otherwise(F.lit(0.0))
     cols = [
@@ -183,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     lab = lab.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y_").alias("y_"))
     chosen = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = statistics(text.join(F.broadcast(chosen), "doc_id")).select("doc_id", "y_", "stats")
+    rows = statistics(text.join(F.broadcast(chosen), "doc_id").select("doc_id", "y_", "text"), F.col("text")).select("doc_id", "y_", "stats")
     # A doc_id with several texts gives several rows; the sample stays bounded all the same.
     got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("stats")).limit(sample).collect()
     x = np.array([r["stats"] for r in got], float).reshape(len(got), len(NAMES))
@@ -191,6 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a ``score``; the statistics stay beside it."""
-    out = docs.withColumn("text_", F.col("text"))
-    return statistics(out, "text_").withColumn("score", model.column())
+    """``docs`` as one struct ``row_``, with ``stats`` and ``score`` beside it."""
+    return statistics(as_row(docs), row_column("text")).withColumn("score", model.column())
+
+
+def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``least``, with the columns they had."""
+    return unpacked(kept(scored(docs, model), F.col("score") >= least), docs.columns)

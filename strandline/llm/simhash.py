@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage, whole_text
+from .common import as_row, row_column, stage, unpacked, whole_text
 from .components import components
 from .forest import bucket_links
 
@@ -92,11 +92,18 @@ def near_dedup(docs: DataFrame, **how) -> DataFrame:
 
     Of rows that repeat a kept row exactly, one stays.  A null doc_id sorts first.
     """
-    spare = docs.withColumn("row_", F.monotonically_increasing_id())
-    spare = stage(spare, "rows")
-    ids = spare.select(F.col("row_").alias("doc_id"), "text")
-    comp = simhash_groups(ids, **how).select(F.col("doc_id").alias("row_"), F.col("component_id").alias("group_"))
-    order = F.struct(F.col("doc_id").alias("a"), F.xxhash64("text").alias("b"), F.col("row_").alias("c"))
-    keyed = spare.select("row_", order.alias("o")).join(comp, "row_")
-    keep = keyed.groupBy("group_").agg(F.min("o").getField("c").alias("row_")).select("row_")
-    return spare.join(keep, "row_", "left_semi").select(*docs.columns)
+    rows = numbered(docs)
+    group = simhash_groups(rows.select(F.col("number_").alias("doc_id"), row_column("text").alias("text")), **how)
+    return first_of_each(rows, group.select(F.col("doc_id").alias("number_"), F.col("component_id").alias("group_")), docs.columns)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as ``row_`` with a number for each row, written so that the numbers stay."""
+    return stage(as_row(docs, number_=F.monotonically_increasing_id()), "rows")
+
+
+def first_of_each(rows: DataFrame, group: DataFrame, names: list[str]) -> DataFrame:
+    """Of ``rows`` the first one of each ``group(number_, group_)``."""
+    order = F.struct(row_column("doc_id").alias("a"), F.xxhash64(row_column("text")).alias("b"), F.col("number_").alias("c"))
+    keep = rows.select("number_", order.alias("o")).join(group, "number_").groupBy("group_").agg(F.min("o")["c"].alias("number_"))
+    return unpacked(rows.join(keep.select("number_"), "number_", "left_semi"), names)

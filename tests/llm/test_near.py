@@ -121,7 +121,6 @@ def test_spanning_forest_of_a_clique_is_linear():
 def test_paragraph_words_and_hashes():
     w = paragraphs.Words("One two. Three\nfour  ONE")
     assert w.n == 5 and w.hash[0] == w.hash[4] and len(set(w.hash.tolist())) == 4
-    assert w.anchors[[0, 2, 3]].all()
     assert paragraphs.Words("").n == 0 and paragraphs.Words(" \n ").n == 0
 
 
@@ -155,6 +154,49 @@ def test_passages_are_found_wherever_they_stand(spark):
         assert len({r.kept_doc_id for r in got if r.class_id == c}) == 1
 
 
+def test_paragraphs_cover_every_word_and_keep_apart():
+    rng = random.Random(3)
+    for n in [*range(18, 90), 500, 4000]:
+        w = paragraphs.Words(" ".join(prose(rng, n, 60)))
+        at = paragraphs.paragraphs(w).tolist()
+        if n < paragraphs.LEAST:
+            assert at == []
+            continue
+        assert at[0] == 0 and at[-1] == max(0, n - paragraphs.WORDS)
+        assert all(0 < b - a <= paragraphs.WORDS for a, b in zip(at, at[1:]))
+        assert all(b - a > paragraphs.NEAR for a, b in zip(at, at[1:])) or n <= paragraphs.WORDS + paragraphs.NEAR
+
+
+def test_passages_of_51_words_share_an_alike_paragraph():
+    """Of drawn pairs of texts that share a run of words, nearly all hold paragraphs that the bands bring together."""
+    rng = random.Random(5)
+    for size, least in ((51, 0.985), (60, 0.99), (75, 0.995)):
+        hit = 0
+        for _ in range(400):
+            run, sides = prose(rng, size, 4000), []
+            for _ in range(2):
+                w = paragraphs.Words(" ".join(prose(rng, rng.randint(0, 200), 4000) + run + prose(rng, rng.randint(0, 200), 4000)))
+                at = paragraphs.paragraphs(w)
+                sides.append((w, at, paragraphs.band_keys(w, at, paragraphs.WORDS)[1]))
+            (v, a, x), (w, b, y) = sides
+            meet = [(i, j) for i in range(len(a)) for j in range(len(b)) if (x[i] == y[j]).any()]
+            sets = lambda w, at: set(w.grams(5)[at : at + paragraphs.WORDS - 4].tolist())
+            near = lambda p, q: len(p & q) >= 0.8 * len(p | q)
+            hit += any(near(sets(v, a[i]), sets(w, b[j])) for i, j in meet)
+        assert hit >= least * 400, (size, hit)
+
+
+def test_repeats_within_one_document_are_reported(spark):
+    rng = random.Random(21)
+    run = prose(rng, 80, 4000)
+    text = " ".join(prose(rng, 70, 4000) + run + prose(rng, 90, 4000) + run + prose(rng, 40, 4000))
+    again = " ".join(["la"] * 100)  # overlaps itself at every place
+    got = paragraphs.repeats(frame(spark, [(1, text), (1, text), (2, " ".join(prose(rng, 300, 4000))), (3, again)])).collect()
+    mine = [r for r in got if r.doc_id == 1]
+    assert {r.doc_id for r in got} <= {1, 3} and any(r.removed for r in mine)
+    assert all(240 <= r.start_word < 320 for r in mine if r.removed) and all(r.start_word < 150 for r in mine if not r.removed)
+
+
 def test_paragraph_classes_match_brute_jaccard(spark):
     rng = random.Random(8)
     base = [prose(rng, 24, 2000) for _ in range(20)]
