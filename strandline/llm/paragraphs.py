@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import BLOOM, stage, whole_text
 from .components import components
@@ -33,6 +33,8 @@ from .simhash import LOWER
 
 WORDS, LEAST, SHINGLE, SIMILARITY = 26, 20, 5, 0.8
 GAP, NEAR = 24, 2
+#: Bits of a place that hold its first word; characters of texts that are gone through at a time.
+START_BITS, PART = 20, 1 << 19
 BANDS, ROWS = 4, 2
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -57,22 +59,24 @@ def blend(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a text with their hashes."""
+    """The words of texts, one after the other, with their hashes; ``n`` words in all."""
 
-    def __init__(self, text: str):
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(LOWER), np.uint8)
+    def __init__(self, *texts: str):
+        parts = [t.encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
+        raw = np.frombuffer(b"\n".join(parts), np.uint8)
         gap = SPACE[raw]
         edge = np.diff(np.r_[True, gap, True].astype(np.int8))
-        self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self.n = len(self.starts)
-        if not self.n:
-            return
-        sums = np.r_[np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(raw)), dtype=np.uint64)]
-        back = powers(pow(BASE, -1, 1 << 64), len(raw))[self.starts]
-        self.hash = blend((sums[self.ends] - sums[self.starts]) * back)
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        self.n = len(starts)
+        #: Of each text the first word, and after the last text the number of words.
+        self.first = np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)]))
+        self.hash = np.zeros(0, np.uint64)
+        if self.n:
+            sums = np.r_[np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(raw)), dtype=np.uint64)]
+            self.hash = blend((sums[ends] - sums[starts]) * powers(pow(BASE, -1, 1 << 64), len(raw))[starts])
 
     def grams(self, k: int) -> np.ndarray:
-        """Hashes of the runs of k words; of the whole text if it is shorter."""
+        """Hashes of the runs of k words; of all words if they are fewer."""
         k = min(k, self.n)
         out = np.zeros(self.n - k + 1, np.uint64)
         for j in range(k):
@@ -80,69 +84,110 @@ class Words:
         return blend(out)
 
 
+def _sliding(f, x: np.ndarray, n: int) -> np.ndarray:
+    """``f``, a minimum or maximum, of each run of n values, by doubling."""
+    width, out = 1, x
+    while 2 * width <= n:
+        out, width = f(out[:-width], out[width:]), 2 * width
+    return f(out[: len(x) - n + 1], out[n - width :][: len(x) - n + 1])
+
+
+def anchors(value: np.ndarray, whole: np.ndarray, gap: int) -> np.ndarray:
+    """Where a value is the least of a run of ``gap`` values; ``whole`` tells which runs lie in one text."""
+    if len(value) < gap:
+        return np.zeros(0, np.int64)
+    least = np.where(whole, _sliding(np.minimum, value, gap), np.uint64(0))
+    pad = np.zeros(gap - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.maximum, np.r_[pad, least, pad], gap) == value)
+    near = np.flatnonzero((value[at[1:]] == value[at[:-1]]) & (np.diff(at) < gap))
+    if len(near):  # of equal values in one run the first is taken
+        runs = np.flatnonzero(whole)
+        view = np.lib.stride_tricks.sliding_window_view(value, gap)
+        at = np.unique(np.concatenate([r + view[r].argmin(1) for r in np.array_split(runs, len(runs) // 65536 + 1)] or [at]))
+    return at
+
+
 def paragraphs(w: Words, size: int = WORDS, least: int = LEAST, gap: int = GAP, near: int = NEAR) -> np.ndarray:
-    """The first words of the paragraphs of a text."""
-    if w.n <= size:
-        return np.zeros(int(w.n >= least), np.int64)
-    value, end = w.grams(SHINGLE), w.n - size
-    if len(value) > gap:
-        runs = np.lib.stride_tricks.sliding_window_view(value, gap)
-        at = np.unique(np.arange(len(runs)) + runs.argmin(1))  # of equal values the first
-    else:
-        at = np.array([int(value.argmin())])
-    every = np.unique(np.r_[0, at[at < end - near]])
-    close = np.flatnonzero(np.diff(every) <= near) + 1
-    if len(close):  # few: of anchors that are close to each other, each is measured from the last one that stays
-        keep = np.ones(len(every), bool)
-        for i in close.tolist():
-            j = i - 1
-            while not keep[j]:
-                j -= 1
-            keep[i] = every[i] - every[j] > near
-        every = every[keep]
-    return np.r_[every, end]
+    """The first words of the paragraphs of all texts, in order."""
+    head, count = w.first[:-1], np.diff(w.first)
+    end = head + np.maximum(count - size, 0)  # where the last paragraph of a text begins
+    ends = np.unique(end[count >= least])
+    heads = head[(count >= least) & (count > size)]
+    if not len(heads):
+        return ends
+    value = w.grams(SHINGLE)
+    text = np.repeat(np.arange(len(count)), count)
+    reach = gap + SHINGLE - 1  # the words of a run of shingles
+    whole = text[: max(0, w.n - reach + 1)] == text[reach - 1 :]
+    at = anchors(value, whole[: len(value) - gap + 1], gap)
+    at = at[at < end[text[at]] - near]
+    every = np.unique(np.r_[heads, at])
+    mine = text[every]
+    close = np.flatnonzero((np.diff(every) <= near) & (mine[1:] == mine[:-1])) + 1
+    keep = np.ones(len(every), bool)
+    for i in close.tolist():  # few: each is measured from the last one that stays
+        j = i - 1
+        while not keep[j]:
+            j -= 1
+        keep[i] = every[i] - every[j] > near
+    return np.unique(np.r_[every[keep], ends])
 
 
 def band_keys(w: Words, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(paragraph hash, band keys) of the paragraphs that begin at ``at``."""
-    size = min(size, w.n)
-    k = min(SHINGLE, size)
+    """(paragraph hash, band keys) of the paragraphs of ``size`` words that begin at ``at``."""
+    k = min(SHINGLE, size, w.n)
     own = w.grams(k)[at[:, None] + np.arange(size - k + 1)]
-    least = np.stack([(own * SCALE[i] + SHIFT[i]).min(1) for i in range(BANDS * ROWS)], axis=1)
-    bands = np.stack([blend(least[:, ROWS * b] * np.uint64(BASE) + least[:, ROWS * b + 1] + np.uint64(b)) for b in range(BANDS)], axis=1)
-    whole = np.zeros(len(at), np.uint64)
-    for j in range(size):
-        whole = (whole + w.hash[at + j]) * np.uint64(BASE) + np.uint64(1)
-    return blend(whole), bands
+    bands = np.empty((len(at), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(at), b, np.uint64)
+        for i in range(ROWS * b, ROWS * b + ROWS):
+            key = blend(key * np.uint64(BASE) + (own * SCALE[i] + SHIFT[i]).min(1))
+        bands[:, b] = key
+    whole = (own * powers(STEP, own.shape[1])).sum(1, dtype=np.uint64)
+    return blend(whole + np.uint64(size)), bands
 
 
 BAND_NAMES = [f"band{i}" for i in range(BANDS)]
 PLACES = "doc_id long, row_hash long, start int, words int, node long, " + ", ".join(f"{b} long" for b in BAND_NAMES)
 
 
+def place_of(row_hash: Column, start: Column) -> Column:
+    """A place as a long: the upper bits of the text's hash and the first word, so places of a text follow each other."""
+    return row_hash.bitwiseAND(F.lit(-1 << START_BITS)).bitwiseOR(F.least(start, F.lit((1 << START_BITS) - 1)).cast("long"))
+
+
 def find(docs: DataFrame, size: int = WORDS, least: int = LEAST) -> DataFrame:
     """``docs(doc_id, text)`` to a row per paragraph: doc_id, row_hash, start, words, node and its bands."""
 
     def run(batches):
         for b in batches:
             texts = b.column(2).to_pylist()
-            parts = []
-            for i, text in enumerate(texts):
-                w = Words(text)
-                if w.n >= least and len(at := paragraphs(w, size, least)):
-                    parts.append((np.full(len(at), i), at, np.full(len(at), min(size, w.n)), *band_keys(w, at, size)))
-            if parts:
-                row, at, n, node, bands = (np.concatenate(x) for x in zip(*parts))
-                take, long = pa.array(row), lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int32()), pa.array(n, pa.int32()), long(node), *map(long, bands.T)], [c.split()[0] for c in PLACES.split(", ")])
+            sizes = np.cumsum([len(t) for t in texts])
+            at = 0
+            while at < len(texts):  # a few texts at a time
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART, side="right")))
+                w = Words(*texts[at:end])
+                first, count = w.first[:-1], np.diff(w.first)
+                places = paragraphs(w, size, least)
+                if len(places):
+                    row = np.searchsorted(w.first, places, side="right") - 1
+                    words = np.minimum(size, count[row])
+                    node, bands = np.empty(len(places), np.uint64), np.empty((len(places), BANDS), np.uint64)
+                    for n in np.unique(words).tolist():  # one length but for short texts
+                        some = words == n
+                        node[some], bands[some] = band_keys(w, places[some], n)
+                    take, long = pa.array(row + at), lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+                    start = pa.array(places - first[row], pa.int32())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), start, pa.array(words, pa.int32()), long(node), *map(long, bands.T)], [c.split()[0] for c in PLACES.split(", ")])
+                at = end
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("row_hash"), whole_text().alias("text"))
     return rows.mapInArrow(run, PLACES)
 
 
 def shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, grams) of the paragraphs in ``wanted(doc_id, row_hash, start, words, node)``."""
-    asked = wanted.groupBy(F.col("doc_id").alias("d"), F.col("row_hash").alias("h")).agg(F.collect_set(F.struct("node", "start", "words")).alias("asked"))
+    """(id, grams) of the paragraphs in ``wanted(doc_id, row_hash, start, words, id)``."""
+    asked = wanted.groupBy(F.col("doc_id").alias("d"), F.col("row_hash").alias("h")).agg(F.collect_set(F.struct("id", "start", "words")).alias("asked"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("row_hash"), whole_text().alias("text"))
     rows = rows.join(asked, (F.col("row_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "asked")
 
@@ -153,11 +198,11 @@ def shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 w = Words(text)
                 for a in asked:
                     k = min(SHINGLE, a["words"])
-                    out.append((a["node"], w.grams(k)[a["start"] : a["start"] + a["words"] - k + 1].tobytes()))
+                    out.append((a["id"], w.grams(k)[a["start"] : a["start"] + a["words"] - k + 1].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.binary()))], ["node", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.binary()))], ["id", "grams"])
 
-    return rows.mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "id long, grams binary")
 
 
 def alike(t: pa.Table, similarity: float = SIMILARITY) -> np.ndarray:
@@ -171,23 +216,25 @@ def alike(t: pa.Table, similarity: float = SIMILARITY) -> np.ndarray:
     return both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
 
 
-def colliding(places: DataFrame) -> DataFrame:
-    """(bucket, id, size): the distinct nodes that share a bucket with other nodes.
+def colliding(nodes: DataFrame, size: int) -> DataFrame:
+    """(bucket, id, size): the nodes that share a bucket with others, but for overlapping ones of one text.
 
     Buckets are told by partial sums first; a Bloom filter of those with several nodes, of a bounded size, then keeps the
     other keys from being shuffled, and AQE can split a bucket that very many paragraphs share.
     """
-    spark = places.sparkSession
-    keys = places.select("node", F.explode(F.array(*BAND_NAMES)).alias("bucket"))
-    ends = keys.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"))
-    several = stage(ends.where("a <> z").select("bucket"), "several")
+    spark = nodes.sparkSession
+    keys = nodes.select("id", F.explode(F.array(*BAND_NAMES)).alias("bucket"))
+    ends = keys.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"))
+    text, start = (lambda c: F.shiftright(c, START_BITS)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << START_BITS) - 1)))
+    apart = (text("a") != text("z")) | (start("z") - start("a") >= size)
+    several = stage(ends.where(apart).select("bucket"), "several")
     before = spark.conf.get(BLOOM)
     spark.conf.set(BLOOM, "0")
     try:
-        met = stage(keys.join(several, "bucket").select("bucket", F.col("node").alias("id")).distinct(), "met")
+        met = stage(keys.join(several, "bucket").select("bucket", "id"), "met")
     finally:
         spark.conf.set(BLOOM, before)
-    return sized(met)
+    return sized(met.distinct())
 
 
 def repeats(docs: DataFrame, size: int = WORDS, least: int = LEAST, similarity: float = SIMILARITY) -> DataFrame:
@@ -196,15 +243,19 @@ def repeats(docs: DataFrame, size: int = WORDS, least: int = LEAST, similarity:
     ``docs(doc_id, text)`` to (doc_id, row_hash, start_word, n_words, class_id, kept_doc_id, kept_start_word, removed).
     """
     places = stage(find(docs, size, least), "places")
-    met = stage(colliding(places), "met_sized")
+    place = place_of(F.col("row_hash"), F.col("start"))
+    # A node is known by its least place, which tells neighbours in a text from paragraphs of others.
+    nodes = places.withColumn("id", place).groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), *(F.min(b).alias(b) for b in BAND_NAMES))
+    nodes = stage(nodes, "nodes")
+    met = stage(colliding(nodes, size), "met_sized")
     where = places.select("node", F.struct("doc_id", "row_hash", "start", "words").alias("here"))
-    asked = stage(met.select(F.col("id").alias("node")).distinct(), "asked")
-    wanted = stage(where.join(asked, "node").groupBy("node").agg(F.min("here").alias("here")).select("here.*", "node"), "wanted")
-    members = met.join(shingles(docs, wanted).withColumnRenamed("node", "id"), "id").select("bucket", "id", "size", "grams")
+    asked = stage(nodes.select("id", "node").join(met.select("id").distinct(), "id"), "asked")
+    wanted = stage(where.join(asked, "node").groupBy("id").agg(F.min("here").alias("here")).select("here.*", "id"), "wanted")
+    members = met.join(shingles(docs, wanted), "id").select("bucket", "id", "size", "grams")
     comp = stage(components(bucket_links(members, lambda t: alike(t, similarity))), "classes")
     # Only nodes with two places or with links can be of a class that repeats.
-    many = where.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    named = many.join(comp, "node", "full").select("node", F.coalesce("label", "node").alias("class_id"))
+    named = nodes.select("node", "id", "n").join(comp.select(F.col("node").alias("id"), "label"), "id", "left").where("n > 1 or label is not null")
+    named = named.select("node", F.coalesce("label", "id").alias("class_id"))
     found = stage(where.join(stage(named, "named"), "node").select("class_id", "here"), "found")
     ends = found.groupBy("class_id").agg(F.min("here").alias("first"), F.max("here").alias("last"))
     one = F.struct("first.doc_id", "first.row_hash").eqNullSafe(F.struct("last.doc_id", "last.row_hash"))
