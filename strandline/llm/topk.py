@@ -1,15 +1,18 @@
 """Exact top-k inner products by aggregation without random access.
 
-Queries and rows meet in blocks of bounded size.  In a block each dimension has a list of the rows sorted by
+Queries and rows meet in blocks of bounded size.  In a part of a block each dimension has a list of the rows sorted by
 value; a query reads it from the top where its weight is positive and from the bottom where it is negative.  After
 each round of sequential reading, a row's score lies between a lower bound (what was read, and the worst value of each
 unread list) and an upper bound (the last value read for each unread list).  Rows whose upper bound is below the
-k-th lower bound are out; a query stops when few enough are left, and their final scores are resolved.  The
+k-th lower bound, or below the k-th score of the parts before, are out; a query stops when few enough are left, and their
+final scores are resolved.  Parts grow, so that a few rows set the k-th score that most parts are held against.  The
 results of the blocks are merged by a window.
 
 Rows: vectors that are null or hold null or non-finite components take no part; shorter vectors count as ended by
 zeros.  Rows that repeat a vec_id are candidates each for itself, except for queries of that vec_id.  A null vec_id takes
-no part.  Scores beyond 64 bits are given as the nearest long.  An empty table gives no rows.
+no part.  Scores beyond 64 bits are given as the nearest long.  Where products may exceed 2^52, which floats cannot
+bound, all rows of a part stay candidates and are scored by integers of any size: at such magnitudes the result is
+exact, but nothing is saved.  An empty table gives no rows.  Columns other than vec_id and embedding take no part.
 """
 
 from __future__ import annotations
@@ -20,8 +23,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import stage
 
-ROWS, QUERIES = 4096, 1024
-DEPTHS = (0.25, 0.5, 1.0)
+ROWS, QUERIES = 8192, 8192
+#: Rows of the first part of a block, of the largest part, and queries that are gone through at a time.
+LEAST_PART, MOST_PART, SLICE = 128, 2048, 1024
+#: How far the lists are read, round by round; a query stops at ENOUGH * k rows.
+DEPTHS, ENOUGH = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.9, 1.0), 2
 LONG = 1 << 63
 
 
@@ -32,9 +38,13 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
     return out
 
 
-def nra(q: np.ndarray, v: np.ndarray, own: np.ndarray, k: int, depths: tuple[float, ...] = DEPTHS) -> list[np.ndarray]:
-    """For each query the rows that may be among its k best; ``own[i, j]`` bars row j for query i."""
+def nra(q: np.ndarray, v: np.ndarray, own: np.ndarray, k: int, depths: tuple[float, ...] = DEPTHS, floor: np.ndarray | None = None, read: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each query the rows that may be among its k best; ``own[i, j]`` bars row j for query i.
+
+    Rows that cannot reach ``floor[i]`` are out as well.  ``read`` is filled with the entries that a query reads of a list.
+    """
     n = len(v)
+    floor = np.full(len(q), -np.inf) if floor is None else floor
     order = np.argsort(v, axis=0, kind="stable")
     sorted_ = np.take_along_axis(v, order, axis=0)
     low, high = sorted_[0], sorted_[-1]
@@ -45,19 +55,19 @@ def nra(q: np.ndarray, v: np.ndarray, own: np.ndarray, k: int, depths: tuple[flo
         t = min(n, max(1, int(np.ceil(n * depth))))
         top, bottom = sorted_[n - t], sorted_[t - 1]  # the last values read from either end
         x = v[rows]
-        seen_top, seen_bottom = x >= top, x <= bottom
         a, b = up[active], down[active]
-        upper = a @ np.where(seen_top, x, top).T + b @ np.where(seen_bottom, x, bottom).T
-        lower = upper if t == n else a @ np.where(seen_top, x, low).T + b @ np.where(seen_bottom, x, high).T
+        upper = a @ np.maximum(x, top).T + b @ np.minimum(x, bottom).T
+        lower = upper if t == n else a @ np.where(x >= top, x, low).T + b @ np.where(x <= bottom, x, high).T
         bar = own[np.ix_(active, rows)]
         lower = np.where(bar, -np.inf, lower)
         few = min(k, len(rows))
-        kth = np.partition(lower, len(rows) - few, axis=1)[:, len(rows) - few]
-        alive = (upper >= kth[:, None]) & ~bar
-        left = alive.sum(1)
-        done = (left <= 2 * k) | (t == n)
+        kth = np.partition(lower, len(rows) - few, axis=1)[:, len(rows) - few] if few == k else np.full(len(active), -np.inf)
+        alive = (upper >= np.maximum(kth, floor[active])[:, None]) & ~bar
+        done = (alive.sum(1) <= ENOUGH * k) | (t == n)
         for i in np.flatnonzero(done):
             out[active[i]] = rows[alive[i]]
+        if read is not None:
+            read[active[done]] = t
         rows = rows[alive[~done].any(0)] if (~done).any() else rows
         active = active[~done]
         if not len(active):
@@ -65,26 +75,49 @@ def nra(q: np.ndarray, v: np.ndarray, own: np.ndarray, k: int, depths: tuple[flo
     return out
 
 
-def block_top(q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(query, row, score) of the k best rows of a block for each of its queries, ties to smaller ids."""
+def parts(n: int) -> list[tuple[int, int]]:
+    """Begin and end of the parts of a block of n rows; each is as long as all before it, within bounds."""
+    out, at = [], 0
+    while at < n:
+        out.append((at, min(n, at + max(LEAST_PART, min(at, MOST_PART)))))
+        at = out[-1][1]
+    return out
+
+
+def block_top(q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.ndarray, k: int, share: list | None = None) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(query, row, score) of the k best rows of a block for each of its queries, ties to smaller ids.
+
+    ``share`` gets (entries read, entries) of the lists of each part.
+    """
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(1, q.shape[1])
     kind = np.float32 if bound < 1 << 23 else np.float64
-    own = qid[:, None] == vid[None, :]
-    if bound < 1 << 52:
-        rough = nra(q.astype(kind), v.astype(kind), own, k)
-        exact = lambda i, rows: (v[rows] @ q[i]).astype(np.int64).tolist()
-    else:  # too large for exact floats: all rows stay candidates and integers of any size decide
-        rough = [np.flatnonzero(~x) for x in own]
-        whole = [[int(c) for c in row] for row in v]
-        exact = lambda i, rows: [max(-LONG, min(LONG - 1, sum(int(a) * b for a, b in zip(q[i], whole[j])))) for j in rows]
-    qs, rs, scores = [], [], []
-    for i, rows in enumerate(rough):
-        got = exact(i, rows)
-        best = sorted(range(len(rows)), key=lambda j: (-got[j], vid[rows[j]]))[:k]
-        qs += [i] * len(best)
-        rs += rows[best].tolist()
-        scores += [got[j] for j in best]
-    return np.array(qs, np.int64), np.array(rs, np.int64), scores
+    best: list[list[tuple[int, int, int]]] = [[] for _ in q]  # (-score, id, row), in order
+    floor = np.full(len(q), -np.inf)
+    wide = bound >= 1 << 52
+    exact_q = [[int(c) for c in x] for x in q] if wide else q
+    for at, end in parts(len(v)):
+        x, own = v[at:end], qid[:, None] == vid[None, at:end]
+        if wide:
+            rough = [np.flatnonzero(~y) for y in own]
+            whole = [[int(c) for c in y] for y in x]
+        else:
+            read = np.zeros(len(q))
+            rough = nra(q.astype(kind), x.astype(kind), own, k, DEPTHS if at else (1.0,), floor, read)
+            if share is not None:
+                share.append((float(read.sum()), len(q) * (end - at)))
+        for i, rows in enumerate(rough):
+            if not len(rows):
+                continue
+            if wide:
+                got = [max(-LONG, min(LONG - 1, sum(a * b for a, b in zip(exact_q[i], whole[j])))) for j in rows]
+            else:
+                got = (x[rows] @ q[i]).astype(np.int64).tolist()
+            best[i] = sorted(best[i] + [(-s, int(vid[at + j]), at + j) for s, j in zip(got, rows.tolist())])[:k]
+            if len(best[i]) == k:
+                floor[i] = -best[i][-1][0]
+    found = [(i, row, -s) for i, b in enumerate(best) for s, _, row in b]
+    qs, rs, scores = zip(*found) if found else ((), (), ())
+    return np.array(qs, np.int64), np.array(rs, np.int64), list(scores)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -111,9 +144,13 @@ def top_scores(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         if not va or not vb:
             return pa.table({"query": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         width = max(map(len, va + vb))
-        ids, qids = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
-        q, r, s = block_top(_matrix(vb, width), qids, _matrix(va, width), ids, k)
-        return pa.table({"query": b["row"].to_numpy()[q], "query_id": qids[q], "vec_id": ids[r], "score": pa.array(s, pa.int64())})
+        ids, qids, mine = a["vec_id"].to_numpy(), b["vec_id"].to_numpy(), b["row"].to_numpy()
+        rows, out = _matrix(va, width), []
+        for at in range(0, len(vb), SLICE):
+            some = slice(at, at + SLICE)
+            q, r, s = block_top(_matrix(vb[some], width), qids[some], rows, ids, k)
+            out.append(pa.table({"query": mine[some][q], "query_id": qids[some][q], "vec_id": ids[r], "score": pa.array(s, pa.int64())}))
+        return pa.concat_tables(out)
 
     met = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(run, "query long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
