@@ -16,7 +16,7 @@ A null doc_id is a document too and sorts first.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import BLOOM, as_row, kept, row_column, stage, unpacked, whole_text
 from .components import components
@@ -27,6 +27,8 @@ LEAST = 24
 SHORTEST = 1
 #: Classes of characters that are counted, four bits each.
 FIELDS = 14
+#: Index entries of a key that one task compares with its probes.
+CHUNK = 4096
 MASK = (1 << 4 * FIELDS) - 1
 
 
@@ -148,22 +150,31 @@ def within_edits(pairs: DataFrame, edits: int) -> DataFrame:
 def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """``lines(id, line, size)``, distinct and staged, to verified links (u, v) between ids.  Ids are even."""
     spark = lines.sparkSession
-    # The low bit of a row tells index entries; a key whose ids are all one line's is dropped.
-    rows = keys(lines, edits, least).select("key", F.col("id").bitwiseOR(F.col("own").cast("long")).alias("row"))
-    inside, line = Window.partitionBy("key"), F.shiftright("row", 1)
-    rows = rows.withColumn("a", F.min(line).over(inside)).withColumn("z", F.max(line).over(inside)).where("a <> z")
-    met = stage(rows.select("key", F.shiftleft(line, 1).alias("id"), (F.col("row").bitwiseAND(F.lit(1)) == 1).alias("own")), "met")
+    # Keys that one line alone has, or that no line is indexed by, are dropped: partial sums tell the others, and a Bloom filter of these, of a bounded
+    # size, keeps the rest from being shuffled.
+    rows = keys(lines, edits, least)
+    ends = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count_if("own").alias("entries"))
+    shared = stage(ends.where("a <> z and entries > 0").select("key", F.ceil(F.col("entries") / CHUNK).cast("int").alias("parts")), "shared")
+    before = spark.conf.get(BLOOM)
+    spark.conf.set(BLOOM, "0")
+    try:
+        met = stage(rows.join(shared, "key").select("key", "id", "own", "parts"), "met")
+    finally:
+        spark.conf.set(BLOOM, before)
     # No id is odd, so the filter keeps all; it lets Spark filter the lines by a Bloom filter of a bounded size before it shuffles them.
     asked = stage(met.select("id").distinct(), "asked").where("id <> 1")
-    before = spark.conf.get(BLOOM)
     spark.conf.set(BLOOM, "0")
     try:
         texts = stage(lines.join(asked, "id").select("id", "line", "size", char_counts(F.col("line")).alias("counts")), "texts")
     finally:
         spark.conf.set(BLOOM, before)
-    side = lambda x, c: x.join(texts.select("id", "size", "counts"), "id").select("key", F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("counts").alias(f"counts_{c}"))
+    # The entries of a key are dealt into parts of about CHUNK; every probe goes to each part, and each is joined by itself.
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    entries = met.where("own").withColumn("part", part)
+    probing = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = lambda x, c: x.join(texts.select("id", "size", "counts"), "id").select("key", "part", F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("counts").alias(f"counts_{c}"))
     longer = (F.col("size_v") > F.col("size_u")) | ((F.col("size_v") == F.col("size_u")) & (F.col("v") > F.col("u")))
-    pairs = side(met.where("own"), "u").join(side(met, "v"), "key").where(longer & counts_near(F.col("counts_u"), F.col("counts_v"), edits))
+    pairs = side(entries, "u").join(side(probing, "v"), ["key", "part"]).where(longer & counts_near(F.col("counts_u"), F.col("counts_v"), edits))
     pairs = stage(pairs.select("u", "v").distinct(), "candidates")
     full = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
     return within_edits(full, edits).select("u", "v")
