@@ -64,6 +64,13 @@ def sized(members: DataFrame) -> DataFrame:
     return members.join(stage(n, "sizes"), "bucket")
 
 
+def told_apart(members: DataFrame) -> DataFrame:
+    """Staged ``members(bucket, id, size)`` without buckets that hold the same members as another one."""
+    same = members.groupBy("bucket").agg(F.max("size").alias("n"), F.min("id").alias("a"), F.max("id").alias("z"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    first = same.groupBy("n", "a", "z", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return members.join(stage(first, "buckets"), "bucket")
+
+
 def bucket_links(members: DataFrame, near: Callable[[pa.Table], np.ndarray], chunk: int = CHUNK) -> DataFrame:
     """``members(bucket long, id long, ...)``, distinct in (bucket, id), to links ``(u, v)``.
 

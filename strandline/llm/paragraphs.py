@@ -26,15 +26,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLOOM, stage, whole_text
+from .common import BLOOM, discard, stage, whole_text
 from .components import components
-from .forest import bucket_links, sized
+from .forest import bucket_links, sized, told_apart
 from .simhash import LOWER
 
 WORDS, LEAST, SHINGLE, SIMILARITY = 26, 20, 5, 0.8
 GAP, NEAR = 24, 2
 #: Bits of a place that hold its first word; characters of texts that are gone through at a time.
 START_BITS, PART = 20, 1 << 19
+#: Paragraphs of a chunk that is compared with another, and cells of a matrix that are counted at a time.
+CHUNK, CELLS = 512, 1 << 22
 BANDS, ROWS = 4, 2
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -209,10 +211,19 @@ def alike(t: pa.Table, similarity: float = SIMILARITY) -> np.ndarray:
     """Which members of a block have a Jaccard similarity of at least ``similarity``."""
     sets = [np.unique(np.frombuffer(x, np.uint64)) for x in t["grams"].to_pylist()]
     sizes = np.array([len(s) for s in sets])
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    has = np.zeros((len(sets), len(values)), np.float32)
-    has[np.repeat(np.arange(len(sets)), sizes), at] = 1
-    both = has @ has.T
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, both = np.repeat(np.arange(len(sets)), sizes), np.diag(sizes).astype(np.float64)
+    shared = n[at] > 1  # what one set alone has counts in its size only
+    at, owner = np.unique(at[shared], return_inverse=True)[1], owner[shared]
+    order = np.argsort(at, kind="stable")
+    at, owner, step = at[order], owner[order], max(1, CELLS // len(sets))
+    pairs = np.zeros(both.shape)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, step):
+        a, z = np.searchsorted(at, [low, low + step])
+        has = np.zeros((len(sets), step), np.float32)
+        has[owner[a:z], at[a:z] - low] = 1
+        pairs += has @ has.T
+    both = np.maximum(both, pairs)
     return both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
 
 
@@ -234,7 +245,7 @@ def colliding(nodes: DataFrame, size: int) -> DataFrame:
         met = stage(keys.join(several, "bucket").select("bucket", "id"), "met")
     finally:
         spark.conf.set(BLOOM, before)
-    return sized(met.distinct())
+    return told_apart(stage(sized(met.distinct()), "met_sized"))
 
 
 def repeats(docs: DataFrame, size: int = WORDS, least: int = LEAST, similarity: float = SIMILARITY) -> DataFrame:
@@ -242,17 +253,18 @@ def repeats(docs: DataFrame, size: int = WORDS, least: int = LEAST, similarity:
 
     ``docs(doc_id, text)`` to (doc_id, row_hash, start_word, n_words, class_id, kept_doc_id, kept_start_word, removed).
     """
-    places = stage(find(docs, size, least), "places")
+    found = stage(find(docs, size, least), "found")
     place = place_of(F.col("row_hash"), F.col("start"))
     # A node is known by its least place, which tells neighbours in a text from paragraphs of others.
-    nodes = places.withColumn("id", place).groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), *(F.min(b).alias(b) for b in BAND_NAMES))
-    nodes = stage(nodes, "nodes")
-    met = stage(colliding(nodes, size), "met_sized")
+    nodes = found.withColumn("id", place).groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), *(F.min(b).alias(b) for b in BAND_NAMES))
+    nodes, places = stage(nodes, "nodes"), stage(found.drop(*BAND_NAMES), "places")
+    discard(found)  # the bands, most of its bytes, are in the nodes
+    met = stage(colliding(nodes, size), "met_once")
     where = places.select("node", F.struct("doc_id", "row_hash", "start", "words").alias("here"))
     asked = stage(nodes.select("id", "node").join(met.select("id").distinct(), "id"), "asked")
     wanted = stage(where.join(asked, "node").groupBy("id").agg(F.min("here").alias("here")).select("here.*", "id"), "wanted")
     members = met.join(shingles(docs, wanted), "id").select("bucket", "id", "size", "grams")
-    comp = stage(components(bucket_links(members, lambda t: alike(t, similarity))), "classes")
+    comp = stage(components(bucket_links(members, lambda t: alike(t, similarity), CHUNK)), "classes")
     # Only nodes with two places or with links can be of a class that repeats.
     named = nodes.select("node", "id", "n").join(comp.select(F.col("node").alias("id"), "label"), "id", "left").where("n > 1 or label is not null")
     named = named.select("node", F.coalesce("label", "id").alias("class_id"))

@@ -1,6 +1,7 @@
 """SimHash, components, forests, paragraphs and lines against brute force."""
 
 import random
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -32,9 +33,14 @@ def closure(nodes, near):
     return {n: root(n) for n in nodes}
 
 
+@lru_cache
+def vocabulary(words):
+    rng = random.Random(words)
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(words)]
+
+
 def prose(rng, n, words=400):
-    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(words)]
-    return [rng.choice(vocabulary) for _ in range(n)]
+    return [rng.choice(vocabulary(words)) for _ in range(n)]
 
 
 def brute_fingerprint(text):

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from strandline.llm import nearcopies, simhash
+from strandline.llm import nearcopies, paragraphs, simhash
 from strandline.llm.queries import op7_lines
 
 from test_near import DOCS, closure, frame, prose
@@ -43,7 +43,7 @@ def test_near_copy_stage_finds_all_pairs_of_similarity(spark):
 
 
 def test_similarity_of_whole_texts_is_exact_in_slices(monkeypatch):
-    monkeypatch.setattr(nearcopies, "CELLS", 64)
+    monkeypatch.setattr(paragraphs, "CELLS", 64)
     rng = np.random.default_rng(1)
     base = rng.choice(10**6, 300, replace=False)
     sets = [np.unique(np.r_[base[: 300 - k], rng.choice(10**6, k)]).astype(np.uint64) for k in (0, 10, 20, 34, 60, 200)]
