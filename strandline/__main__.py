@@ -68,13 +68,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         build(spark, a.fasta, a.folder, a.k)
         return
     cfg = config(a)
-    refs, _, _ = index.load(spark, a.folder)
+    of = index.opened(spark, a.folder)
+    refs = of.contigs
     scan = lambda path: io.read_records(spark, [path]).where("error is null")
     if a.mates or a.interleaved:
         r = pairing.zipped(scan(a.reads), scan(a.mates)) if a.mates else pairing.interleaved(scan(a.reads))
-        rows = pairing.align_pairs(r.select("pair_id", "mate", "name", "seq", "qual"), refs, cfg)
+        rows = pairing.align_pairs(r.select("pair_id", "mate", "name", "seq", "qual"), of, cfg)
     else:
-        rows = mapping.align_single(scan(a.reads).select(F.col("ord").alias("read_id"), "name", "seq", "qual"), refs, cfg)
+        rows = mapping.align_single(scan(a.reads).select(F.col("ord").alias("read_id"), "name", "seq", "qual"), of, cfg)
     if a.out.endswith(".bam"):
         head = "".join(f"{r['value']}\n" for r in sam.header_rows(refs, cfg, "coordinate").orderBy("section", "n").toLocalIterator())
         bam.write_bam(rows, refs, a.out, head)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -55,24 +57,66 @@ def chain_matches(q: np.ndarray, r: np.ndarray, size: np.ndarray, max_gap: int =
 
 
 CHAINS = "read_id long, strand string, ref_id long, chain_no int, score int, query_begin int, query_end int, ref_begin int, ref_end int, mems array<struct<qpos:int,rpos:int,len:int>>"
+GROUP = ("read_id", "strand", "ref_id")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a sorted partition in parts that do not cut a group."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        last = [t[c][t.num_rows - 1] for c in GROUP] if t.num_rows else []
+        same = np.ones(t.num_rows, bool)
+        for c, v in zip(GROUP, last):
+            same &= pc.equal(t[c], v).to_numpy(zero_copy_only=False).astype(bool)
+        at = t.num_rows - int(same.sum())  # sorted, so the last group is the end
+        if at:
+            yield t.slice(0, at)
+        rest = t.slice(at)
+    if rest is not None and rest.num_rows:
+        yield rest
 
 
 def chains(mems: DataFrame, max_gap: int, least: int) -> DataFrame:
-    """Chains of each (read, strand, contig).  A group is the matches of one read in one contig, capped by occurrence."""
+    """Chains of each (read, strand, contig).
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        q, r, n = (pdf[c].to_numpy() for c in ("qpos", "rpos", "len"))
-        rows = []
-        for k, c in enumerate(chain_matches(q, r, n, max_gap, least)):
-            a, z = c.members[0], c.members[-1]
-            rows.append((*key, k, c.score, q[a], q[z] + n[z], r[a], r[z] + n[z], [{"qpos": int(q[i]), "rpos": int(r[i]), "len": int(n[i])} for i in c.members]))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in CHAINS.split(", ")])
+    The matches are dealt by read and sorted, and a task goes through its groups a batch at a time, so a group costs no call
+    of its own and most, which hold one match, cost next to nothing.
+    """
 
-    return mems.groupBy("read_id", "strand", "ref_id").applyInPandas(run, CHAINS)
+    def run(batches):
+        for t in _whole_groups(batches):
+            ref, forward, read = t["ref_id"].to_numpy(), pc.equal(t["strand"], "+").to_numpy(zero_copy_only=False).astype(bool), t["read_id"].to_numpy()
+            q, r, n = (t[c].to_numpy() for c in ("qpos", "rpos", "len"))
+            edge = np.flatnonzero((read[1:] != read[:-1]) | (ref[1:] != ref[:-1]) | (forward[1:] != forward[:-1])) + 1
+            heads, rows, members = [], [], []
+            for a, z in zip([0, *edge.tolist()], [*edge.tolist(), len(q)]):
+                if z - a == 1:
+                    found = [(int(n[a]), [a])] if n[a] >= least else []
+                else:
+                    found = [(c.score, [a + i for i in c.members]) for c in chain_matches(q[a:z], r[a:z], n[a:z], max_gap, least)]
+                for k, (score, at) in enumerate(found):
+                    heads.append(at[0])
+                    rows.append((k, score, q[at[0]], q[at[-1]] + n[at[-1]], r[at[0]], r[at[-1]] + n[at[-1]], len(at)))
+                    members += at
+            if not heads:
+                continue
+            cols = np.array(rows, np.int64).T
+            take, inner = pa.array(heads), np.array(members)
+            parts = pa.StructArray.from_arrays([pa.array(x[inner], pa.int32()) for x in (q, r, n)], ["qpos", "rpos", "len"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cols[6])], pa.int32()), parts)
+            key = [t[c].combine_chunks().take(take) for c in GROUP]
+            yield pa.RecordBatch.from_arrays([*key, *(pa.array(c, pa.int32()) for c in cols[:6]), lists], [x.split()[0] for x in CHAINS.split(", ")])
+
+    m = mems.select(*(F.col(c).cast(t).alias(c) for c, t in (("read_id", "long"), ("strand", "string"), ("ref_id", "long"), ("qpos", "int"), ("rpos", "int"), ("len", "int"))))
+    return m.repartition("read_id").sortWithinPartitions(*GROUP, "qpos", "rpos").mapInArrow(run, CHAINS)
 
 
 def ranked(found: DataFrame, most: int | None = None) -> DataFrame:
-    """Chains with ``chain_rank`` per read, best first, and ``next_score``, the score of the second."""
+    """Chains with ``chain_rank`` per read, best first, ``next_score``, the score of the second, and ``best``, the first one's place."""
     order = Window.partitionBy("read_id").orderBy(F.desc("score"), "ref_id", "ref_begin", "query_begin", F.desc(F.col("strand") == "+"), "chain_no")
-    out = found.withColumn("chain_rank", F.row_number().over(order)).withColumn("next_score", F.lead("score").over(order))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best = F.first(F.struct("ref_id", "query_begin", "query_end")).over(whole)
+    out = found.withColumn("chain_rank", F.row_number().over(order)).withColumn("next_score", F.nth_value("score", 2).over(whole)).withColumn("best", best)
     return out if most is None else out.where(F.col("chain_rank") <= most)

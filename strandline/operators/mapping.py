@@ -10,70 +10,101 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import LONG_READ, Config, preset
 from ..functions import sequence as S
+from ..sources.staging import staged
 from . import seeding
 from .alignment import aligner
 from .chaining import chains, ranked
+from .index import Reference, reference, windows
 
-#: Bases of a piece of the reference that windows are cut from.
-PIECE = 1 << 14
 #: Placements of a read within this distance on one contig are one.
 SAME_PLACE = 5
 
 
-def pieces(refs: DataFrame) -> DataFrame:
-    """(ref_id, piece, bases): the contigs in pieces, so that no window join moves a whole contig."""
-    n = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / PIECE).cast("int"))).alias("piece")
-    cut = refs.select("ref_id", "seq", n)
-    return cut.select("ref_id", "piece", F.substring("seq", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("bases"))
-
-
-def windows(rows: DataFrame, refs: DataFrame, key: list[str]) -> DataFrame:
-    """``rows(*key, ref_id, window_begin, window_end)`` with ``window``, the bases between."""
-    n = F.explode(F.sequence(F.floor(F.col("window_begin") / PIECE).cast("int"), F.floor((F.col("window_end") - 1) / PIECE).cast("int"))).alias("piece")
-    w = rows.where("window_end > window_begin").select(*key, "ref_id", "window_begin", "window_end", n)
-    low = F.greatest(F.col("window_begin") - F.col("piece") * PIECE, F.lit(0)).cast("int")
-    high = F.least(F.col("window_end") - F.col("piece") * PIECE, F.lit(PIECE)).cast("int")
-    part = F.struct("piece", F.substring("bases", low + 1, high - low).alias("bases"))
-    got = w.join(pieces(refs), ["ref_id", "piece"]).groupBy(*key).agg(F.sort_array(F.collect_list(part)).alias("p_"))
-    got = got.select(*key, F.array_join(F.transform("p_", lambda p: p["bases"]), "").alias("window"))
-    return rows.join(got, key)
-
-
 def chain_window(ref_pos: Column, query_begin: Column, query_len: Column, ref_len: Column, band: int) -> tuple[Column, Column]:
     """Where the read would lie under a chain, with half a band of padding, within the contig."""
     pad, at = max(8, band // 2), ref_pos - query_begin
     return F.greatest(F.lit(0), at - pad), F.least(ref_len, at + query_len + pad)
 
 
-def matches(reads: DataFrame, refs: DataFrame, cfg: Config, rescue: bool = True) -> DataFrame:
-    """Exact matches of all reads, inexact seeds where they cover little, and short seeds of reads without any."""
-    k = cfg.min_seed_len
-    key = ["read_id", "strand", "ref_id", "qpos", "rpos", "len"]
-    exact = seeding.maximal_matches(seeding.seed_hits(reads, refs, k), k)
-    exact = seeding.uncontained(seeding.capped(exact, k, cfg.max_occ)).select(key)
-    out = exact.unionByName(seeding.inexact_seeds(reads, refs, exact, k, cfg.max_occ).select(key))
-    if rescue and k > 5:
-        out = out.unionByName(seeding.rescue_seeds(reads, refs, out, 5, cfg.max_occ).select(key))
+MATCH = ["read_id", "strand", "ref_id", "qpos", "rpos", "len"]
+
+
+def matches(reads: DataFrame, refs: DataFrame | Reference, cfg: Config, rescue: bool = True) -> DataFrame:
+    """Exact matches of all reads, inexact seeds where they cover little, and short seeds of reads without any.
+
+    The matches are written, since each step asks for what the steps before it left open.
+    """
+    k, of = cfg.min_seed_len, reference(refs, keep=True)
+    exact = seeding.maximal_matches(seeding.seed_hits(reads, of, k), k)
+    exact = staged(seeding.uncontained(seeding.capped(exact, k, cfg.max_occ)).select(MATCH))
+    if seeding.needs_inexact(exact, reads).isEmpty():
+        return exact
+    out = staged(exact.unionByName(seeding.inexact_seeds(reads, of, exact, k, cfg.max_occ).select(MATCH)))
+    if rescue and k > max(seeding.RESCUE):
+        lone = staged(seeding.unmatched(reads.select("read_id", "seq"), out))
+        if not lone.isEmpty():
+            out = out.unionByName(seeding.rescue_seeds(lone, of, cfg.max_occ).select(MATCH))
     return out
 
 
-def extended(reads: DataFrame, refs: DataFrame, best: DataFrame, cfg: Config) -> DataFrame:
-    """The best chains of each read, extended and accepted: a row per placement."""
+def needs_extension(cfg: Config) -> Column:
+    """Whether a chain of ``ranked`` has to be aligned: the first one, and those whose alignment may be shown.
+
+    These are all of them with secondary output, those on another contig than the first, and those that cover a part of
+    the read that the first leaves.  The others count with their chain scores only.
+    """
+    first = F.col("chain_rank") == 1
+    elsewhere = (F.col("ref_id") != F.col("best.ref_id")) & F.lit(cfg.output_supplementary)
+    a, n = F.struct(F.col("query_begin").alias("qb"), F.col("query_end").alias("qe")), F.col("query_len")
+    p = F.struct(F.col("best.query_begin").alias("qb"), F.col("best.query_end").alias("qe"))
+    apart = (_overlap(p, a) <= F.greatest(F.lit(5), F.floor(n / 10))) & (_outside(p, a) >= cfg.min_seed_len)
+    return first | F.lit(cfg.output_secondary) | elsewhere | apart
+
+
+def accepted(cfg: Config) -> Column:
+    """Whether the alignment ``sw`` explains its chain, whose score is ``score``."""
+    return (F.col("sw.score") >= 10) & (2 * F.col("sw.score") >= F.col("score")) & (F.col("sw.score") >= cfg.min_output_score)
+
+
+PLACEMENT = ["read_id", "ref_id", "strand", "chain_rank", "next_score", "query_len", "pos0", "score", "qb", "qe", "ref_span", "cigar", "nm", "md", "skipped_best", "skipped_n"]
+
+
+def extended(reads: DataFrame, refs: DataFrame | Reference, best: DataFrame, cfg: Config) -> DataFrame:
+    """The best chains of each read, extended and accepted: a row per placement.
+
+    A read all of whose extensions are refused is placed by its best chain alone, with that chain's CIGAR and score.
+    """
+    of = reference(refs, keep=True)
     size = reads.select("read_id", F.length("seq").alias("query_len"), F.col("seq").alias("query"))
-    lengths = refs.select("ref_id", F.length("seq").alias("ref_len"))
-    c = best.join(size, "read_id").join(lengths, "ref_id")
+    lengths = of.contigs.select("ref_id", F.col("length").alias("ref_len"))
+    c = best.join(size.drop("query"), "read_id").withColumn("needed", needs_extension(cfg))
+    skipped = Window.partitionBy("read_id")
+    c = c.withColumn("skipped_best", F.coalesce(F.max(F.when(~F.col("needed"), F.col("score"))).over(skipped), F.lit(0)))
+    c = c.withColumn("skipped_n", F.count_if(~F.col("needed")).over(skipped).cast("int")).where("needed").drop("best", "needed")
+    c = staged(c)
+    w = c.join(lengths, "ref_id")
     begin, end = chain_window(F.col("mems")[0]["rpos"], F.col("query_begin"), F.col("query_len"), F.col("ref_len"), cfg.band_width)
-    c = c.withColumn("window_begin", begin).withColumn("window_end", end)
-    c = windows(c, refs, ["read_id", "chain_rank"])
-    c = c.withColumn("query", F.when(F.col("strand") == "-", S.reverse_complement("query")).otherwise(F.col("query")))
-    c = c.withColumn("sw", aligner(cfg.scoring, cfg.band_width)("query", "window"))
-    ok = (F.col("sw.score") >= 10) & (2 * F.col("sw.score") >= F.col("score")) & (F.col("sw.score") >= cfg.min_output_score)
-    return c.where(ok).select("read_id", "ref_id", "strand", "chain_rank", "next_score", "query_len", (F.col("window_begin") + F.col("sw.ref_begin")).cast("int").alias("pos0"), F.col("sw.score").alias("score"), F.col("sw.query_begin").alias("qb"), F.col("sw.query_end").alias("qe"), (F.col("sw.ref_end") - F.col("sw.ref_begin")).alias("ref_span"), F.col("sw.cigar").alias("cigar"), F.col("sw.nm").alias("nm"), F.col("sw.md").alias("md"))
+    w = windows(w.withColumn("window_begin", begin.cast("long")).withColumn("window_end", end.cast("long")), of).join(size.select("read_id", "query"), "read_id")
+    w = w.withColumn("query", F.when(F.col("strand") == "-", S.reverse_complement("query")).otherwise(F.col("query")))
+    # Few chains are left, but each is dear: they are dealt out evenly.
+    w = w.repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "read_id", "chain_rank")
+    w = w.withColumn("sw", aligner(cfg.scoring, cfg.band_width)("query", "window"))
+    placed = {
+        "pos0": (F.col("window_begin") + F.col("sw.ref_begin")).cast("int"), "score": F.col("sw.score"), "qb": F.col("sw.query_begin"), "qe": F.col("sw.query_end"),
+        "ref_span": F.col("sw.ref_end") - F.col("sw.ref_begin"), "cigar": F.col("sw.cigar"), "nm": F.col("sw.nm"), "md": F.col("sw.md"),
+    }
+    found = staged(w.where(accepted(cfg)).select(*(placed.get(c, F.col(c)).alias(c) for c in PLACEMENT)))
+    alone = c.where((F.col("chain_rank") == 1) & (F.col("score") >= cfg.min_output_score)).join(found.select("read_id"), "read_id", "left_anti")
+    chain = {
+        "pos0": F.col("mems")[0]["rpos"], "qb": F.col("query_begin"), "qe": F.col("query_end"), "ref_span": F.col("ref_end") - F.col("ref_begin"),
+        "cigar": S.chain_cigar("mems", F.col("query_len")), "nm": F.lit(None).cast("int"), "md": F.lit(None).cast("string"),
+    }
+    return found.unionByName(alone.select(*(chain.get(c, F.col(c)).alias(c) for c in PLACEMENT)))
 
 
 def placements(found: DataFrame) -> DataFrame:
     """(read_id, alns): placements of a read, best score first, those near a better one on the same contig left out."""
-    fields = ["chain_rank", "ref_id", "strand", "pos0", "score", "next_score", "query_len", "qb", "qe", "ref_span", "cigar", "nm", "md"]
+    fields = [c for c in PLACEMENT if c != "read_id"]
     row = F.struct((-F.col("score")).alias("order_"), *fields)
     near = lambda kept, a: F.exists(kept, lambda b: (b["ref_id"] == a["ref_id"]) & (F.abs(b["pos0"] - a["pos0"]) <= SAME_PLACE))
     per = found.groupBy("read_id").agg(F.sort_array(F.collect_list(row)).alias("all_"))
@@ -101,7 +132,7 @@ def hard_clipped(cigar: Column) -> Column:
     return F.translate(cigar, "S", "H")
 
 
-def records(reads: DataFrame, refs: DataFrame, placed: DataFrame, cfg: Config) -> DataFrame:
+def records(reads: DataFrame, refs: DataFrame | Reference, placed: DataFrame, cfg: Config) -> DataFrame:
     """A row per record: the primary of every read, and its secondary and supplementary records.
 
     kind_ord orders them as they are written: primary, secondary, supplementary.
@@ -121,10 +152,11 @@ def records(reads: DataFrame, refs: DataFrame, placed: DataFrame, cfg: Config) -
     supp = (F.col("i") == F.col("split_at")) | ((F.col("a.ref_id") != F.col("p.ref_id")) & (F.col("a.score") >= cfg.min_chain_score))
     kind = F.when(F.col("i") == F.col("first_"), "primary").when(supp & F.lit(cfg.output_supplementary), "supplementary").otherwise("secondary")
     rows = rows.withColumn("kind", kind)
-    sub, csub = F.greatest("second", F.lit(0)), F.coalesce("a.next_score", F.lit(0))
-    quality = S.mapq("a.score", sub, csub, F.col("n") - 1, F.col("a.qe") - F.col("a.qb"), "a.ref_span", cfg.scoring.match, -cfg.scoring.mismatch, cfg.min_seed_len)
+    # Chains that were not extended compete with their scores.
+    sub, csub = F.greatest("second", "a.skipped_best"), F.coalesce("a.next_score", F.lit(0))
+    quality = S.mapq("a.score", sub, csub, F.col("n") - 1 + F.col("a.skipped_n"), F.col("a.qe") - F.col("a.qb"), "a.ref_span", cfg.scoring.match, -cfg.scoring.mismatch, cfg.min_seed_len)
     rows = rows.withColumn("mapq", F.when(F.col("kind") == "primary", quality).otherwise(F.lit(0)))
-    names = refs.select("ref_id", F.col("name").alias("rname"))
+    names = reference(refs).contigs.select("ref_id", F.col("name").alias("rname"))
     rows = rows.withColumn("ref_id", F.col("a.ref_id")).join(names, "ref_id")
     rows = rows.withColumn("reverse", F.col("a.strand") == "-")
     rows = rows.withColumn("hard", (F.col("i") == F.col("split_at")) & (F.col("kind") == "supplementary") & F.lit(not cfg.soft_clip_supplementary))
@@ -169,12 +201,19 @@ def tagged(rows: DataFrame, cfg: Config) -> DataFrame:
     return rows.withColumn("tags", tags).drop("others_")
 
 
-def align_single(reads: DataFrame, refs: DataFrame, cfg: Config = Config(), rescue: bool = True) -> DataFrame:
-    """``reads(read_id, name, seq, qual)`` against contigs; long reads take the long-read knobs."""
-    parts = []
-    long_cfg = preset("long_reads", cfg)
-    for c, some in ((cfg, reads.where(F.length("seq") <= LONG_READ)), (long_cfg, reads.where(F.length("seq") > LONG_READ))):
+def align_single(reads: DataFrame, refs: DataFrame | Reference, cfg: Config = Config(), rescue: bool = True) -> DataFrame:
+    """``reads(read_id, name, seq, qual)`` against contigs or a saved index; long reads take the long-read knobs."""
+    parts, of = [], reference(refs, keep=True)
+    reads = staged(reads.select("read_id", "name", "seq", "qual"))
+    for c, some in ((cfg, reads.where(F.length("seq") <= LONG_READ)), (preset("long_reads", cfg), reads.where(F.length("seq") > LONG_READ))):
+        if some.isEmpty():
+            continue
         clean = some.withColumn("seq", S.normalize("seq"))
-        best = ranked(chains(matches(clean, refs, c, rescue), c.max_gap, c.min_chain_score), c.max_alignments)
-        parts.append(records(some, refs, placements(extended(clean, refs, best, c)), c))
-    return parts[0].unionByName(parts[1])
+        best = ranked(chains(matches(clean, of, c, rescue), c.max_gap, c.min_chain_score), c.max_alignments)
+        parts.append(records(some, of, placements(extended(clean, of, best, c)), c))
+    if not parts:
+        return records(reads, of, placements(reads.sparkSession.createDataFrame([], _EMPTY)), cfg)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+_EMPTY = "read_id long, ref_id long, strand string, chain_rank int, next_score int, query_len int, pos0 int, score int, qb int, qe int, ref_span int, cigar string, nm int, md string, skipped_best int, skipped_n int"

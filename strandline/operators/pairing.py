@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import Config, InsertSize
 from ..functions import sequence as S
+from ..sources.staging import staged
 from . import mapping
 from .alignment import aligner
+from .index import Reference, reference, windows
 
 SAMPLE, LEAST, QUALITY = 512, 20, 20
 
@@ -81,7 +83,7 @@ def insert_size(pairs: DataFrame) -> InsertSize:
     return InsertSize(row["mean"], row["std"], row["mean"] + 4 * row["std"], True)
 
 
-def rescued(reads: DataFrame, refs: DataFrame, primaries: DataFrame, stats: InsertSize, cfg: Config) -> DataFrame:
+def rescued(reads: DataFrame, refs: DataFrame | Reference, primaries: DataFrame, stats: InsertSize, cfg: Config) -> DataFrame:
     """New primaries for unmapped mates of mapped ends, aligned near their mates on both strands."""
     p = joined(primaries)
     free = lambda m: S.has_flag(f"{m}.flag", "unmapped")
@@ -89,11 +91,12 @@ def rescued(reads: DataFrame, refs: DataFrame, primaries: DataFrame, stats: Inse
     lost, anchor = F.when(free("a"), F.col("a")).otherwise(F.col("b")), F.when(free("a"), F.col("b")).otherwise(F.col("a"))
     lone = lone.select("pair_id", lost.alias("lost"), anchor.alias("anchor"))
     w = rescue_window(stats)
-    lengths = refs.select("ref_id", F.length("seq").alias("ref_len"))
+    of = reference(refs)
+    lengths = of.contigs.select("ref_id", F.col("length").alias("ref_len"))
     lone = lone.withColumn("ref_id", F.col("anchor.ref_id")).join(lengths, "ref_id")
     at = F.col("anchor.pos") - 1
     lone = lone.withColumn("window_begin", F.greatest(F.lit(0), at - w)).withColumn("window_end", F.least("ref_len", at + F.col("anchor.ref_span") + w))
-    lone = mapping.windows(lone, refs, ["pair_id"])
+    lone = windows(lone.withColumn("window_begin", F.col("window_begin").cast("long")).withColumn("window_end", F.col("window_end").cast("long")), of)
     seq = reads.select("pair_id", "mate", S.normalize("seq").alias("query"))
     lone = lone.withColumn("mate", F.col("lost.mate")).join(seq, ["pair_id", "mate"])
     both = lone.withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
@@ -130,13 +133,12 @@ def marked(rows: DataFrame, limit: float, cfg: Config) -> DataFrame:
     return out.drop("proper", "q_", "m_", "r_", "n_", "p_", "t_")
 
 
-def align_pairs(reads: DataFrame, refs: DataFrame, cfg: Config = Config()) -> DataFrame:
+def align_pairs(reads: DataFrame, refs: DataFrame | Reference, cfg: Config = Config()) -> DataFrame:
     """``reads(pair_id, mate, name, seq, qual)`` against contigs; records as of ``align_single`` with mate fields.
 
     The alignments are written to the shared folder once, as the insert sizes are a job of their own.
     """
-    from ..sources.staging import staged
-
+    refs = reference(refs, keep=True)
     each = reads.withColumn("read_id", (F.col("pair_id") * 2 + F.col("mate") - 1).cast("long"))
     rows = mapping.align_single(each.select("read_id", "name", "seq", "qual"), refs, cfg)
     rows = staged(rows.withColumn("pair_id", F.floor(F.col("read_id") / 2)).withColumn("mate", (F.col("read_id") % 2 + 1).cast("int")))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.sequence import reverse_complement
-from .index import kmers
+from ..sources.staging import staged
+from .index import Reference, packed_kmers, reference
 
-#: Up to this many seeds per k-mer and contig are joined; matches are capped by ``max_occ`` afterwards.
-KMER_CAP = 10_000
-#: Reads of so many bases in all have at most twice as many k-mers, some tens of MB.
-BROADCAST_BASES = 250_000
+#: Reads of so many bases in all have at most twice as many k-mers, of some 40 bytes each.
+BROADCAST_BASES = 1_000_000
+#: So many rows of a long or two are broadcast.
+BROADCAST_ROWS = 2_000_000
+#: Lengths of the seeds of reads without any match, in the order they are tried.
+RESCUE = (5, 4)
 
 
 def stranded(reads: DataFrame) -> DataFrame:
@@ -19,23 +22,27 @@ def stranded(reads: DataFrame) -> DataFrame:
     return reads.select("read_id", F.explode(sides).alias("s")).select("read_id", "s.strand", "s.seq")
 
 
-def seed_hits(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+def read_kmers(sides: DataFrame, k: int, key: tuple[str, ...] = ("read_id", "strand")) -> DataFrame:
+    """(*key, qpos, kmer) of sequences with a column ``seq``, the k-mers packed."""
+    whole = sides.select(*key, F.lit(0).cast("long").alias("start"), F.col("seq").alias("bases"))
+    return packed_kmers(whole, list(key), k).withColumnRenamed("pos", "qpos")
+
+
+def seed_hits(reads: DataFrame, refs: DataFrame | Reference, k: int) -> DataFrame:
     """(read_id, strand, ref_id, qpos, rpos) of all k-mers that a read and a contig share.
 
-    The reference side is exploded where it is scanned.  The bases of the reads are summed first: up to
-    BROADCAST_BASES their k-mers are broadcast and the reference is not shuffled; beyond, both sides are.
+    Saved seeds are used where the reference has them.  The bases of the reads are summed first: up to
+    BROADCAST_BASES their k-mers are broadcast and the reference's are not shuffled; beyond, both sides are.
     """
-    q = kmers(stranded(reads), ["read_id", "strand"], k).withColumnRenamed("pos", "qpos")
+    q = read_kmers(stranded(reads), k)
     if (reads.agg(F.sum(F.length("seq"))).first()[0] or 0) <= BROADCAST_BASES:
         q = F.broadcast(q)
-    r = kmers(refs, ["ref_id"], k).withColumnRenamed("pos", "rpos")
-    return r.join(q, "kmer").select("read_id", "strand", "ref_id", "qpos", "rpos")
+    return reference(refs).kmers(k).join(q, "kmer").select("read_id", "strand", "ref_id", "qpos", F.col("pos").alias("rpos"))
 
 
-def indexed_hits(reads: DataFrame, seeds: DataFrame, k: int, cap: int = KMER_CAP) -> DataFrame:
-    """As ``seed_hits``, over a saved seed index."""
-    q = kmers(stranded(reads), ["read_id", "strand"], k).withColumnRenamed("pos", "qpos")
-    return seeds.where(F.col("occ") <= cap).join(q, "kmer").select("read_id", "strand", "ref_id", "qpos", F.col("pos").alias("rpos"))
+def indexed_hits(reads: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """As ``seed_hits``, over the seeds of a saved index alone."""
+    return seeds.join(read_kmers(stranded(reads), k), "kmer").select("read_id", "strand", "ref_id", "qpos", F.col("pos").alias("rpos"))
 
 
 def maximal_matches(hits: DataFrame, k: int) -> DataFrame:
@@ -96,45 +103,77 @@ def strand_vote(mems: DataFrame) -> DataFrame:
     return v.select("read_id", "forward", "backward", (F.col("backward") > F.col("forward")).alias("reverse"))
 
 
-def inexact_seeds(reads: DataFrame, refs: DataFrame, mems: DataFrame, k: int, max_occ: int) -> DataFrame:
+def inexact_seeds(reads: DataFrame, refs: DataFrame | Reference, mems: DataFrame, k: int, max_occ: int) -> DataFrame:
     """One-mismatch seeds at read positions that no match covers, for poorly covered strands.
 
+    The forward strand comes first.  For the reverse strand, the positions of all matches and seeds found so far are
+    covered, those of the forward strand too, so a read that maps forward is hardly searched again.
+    """
+    of, place = reference(refs), ["read_id", "strand", "qpos", "len"]
+    poor = staged(needs_inexact(mems, reads))
+    forward = staged(_one_strand(reads, of, poor.where("strand = '+'"), mems.where("strand = '+'").select(place), k, max_occ))
+    both = mems.select(place).unionByName(forward.select(place))
+    return forward.unionByName(_one_strand(reads, of, poor.where("strand = '-'"), both, k, max_occ))
+
+
+def _one_strand(reads: DataFrame, of: Reference, poor: DataFrame, covering: DataFrame, k: int, max_occ: int) -> DataFrame:
+    """The one-mismatch seeds of ``poor(read_id, strand)`` at positions outside ``covering(read_id, qpos, len)``.
+
     For each position the exact k-mer comes first, then its variants in the order of (mismatch
     position, base); the first with a hit gives the seed, at its leftmost position in the contig.
+    Variants are numbers; a change of one base is a sum.
     """
-    sides = stranded(reads).join(needs_inexact(mems, reads), ["read_id", "strand"])
-    q = kmers(sides, ["read_id", "strand"], k).withColumnRenamed("pos", "qpos")
-    taken = mems.select("read_id", "strand", F.explode(F.sequence("qpos", F.col("qpos") + F.col("len") - 1)).alias("qpos")).distinct()
-    q = q.join(taken, ["read_id", "strand", "qpos"], "left_anti")
-    place = F.explode(F.sequence(F.lit(-1), F.lit(k - 1))).alias("mm")
-    v = q.select("*", place).withColumn("base", F.explode(F.when(F.col("mm") < 0, F.array(F.lit("="))).otherwise(F.array(*map(F.lit, "ACGT")))))
-    v = v.where((F.col("mm") < 0) | (F.substring("kmer", F.col("mm") + 1, F.lit(1)) != F.col("base")))
-    changed = F.concat(F.substring("kmer", F.lit(1), F.col("mm")), F.col("base"), F.substring("kmer", F.col("mm") + 2, F.lit(k)))
-    v = v.withColumn("kmer", F.when(F.col("mm") < 0, F.col("kmer")).otherwise(changed))
-    r = kmers(refs, ["ref_id"], k).groupBy("kmer", "ref_id").agg(F.min("pos").alias("rpos"), F.count("*").alias("occ")).where(F.col("occ") <= max_occ)
-    order = Window.partitionBy("read_id", "strand", "qpos", "ref_id").orderBy("mm", "base")
-    hit = v.join(r, "kmer").withColumn("n_", F.row_number().over(order)).where("n_ = 1")
-    return hit.select("read_id", "strand", "ref_id", "qpos", "rpos", F.lit(k).alias("len"), (F.col("mm") >= 0).alias("inexact"))
-
-
-def rescue_counts(reads: DataFrame, refs: DataFrame, mems: DataFrame, k: int, max_occ: int) -> DataFrame:
-    """(read_id, ref_id, seeds): short seeds of reads that have no match at all.
+    sides = stranded(reads).join(poor, ["read_id", "strand"])
+    taken = covering.select("read_id", F.explode(F.sequence("qpos", F.col("qpos") + F.col("len") - 1)).alias("qpos")).distinct()
+    q = read_kmers(sides, k).join(taken, ["read_id", "qpos"], "left_anti").select("read_id", "strand", "qpos", "kmer")
+    changes = F.array(F.struct(F.lit(-1).alias("mm"), F.lit(-1).alias("base")), *(F.struct(F.lit(i).alias("mm"), F.lit(b).alias("base")) for i in range(k) for b in range(4)))
+    v = q.select("*", F.explode(changes).alias("x")).select("read_id", "strand", "qpos", "kmer", "x.*")
+    shift = (F.lit(2 * (k - 1)) - 2 * F.col("mm")).cast("int")
+    own = F.call_function("shiftright", "kmer", shift).bitwiseAND(F.lit(3))
+    changed = F.col("kmer") + F.call_function("shiftleft", (F.col("base") - own).cast("long"), shift)
+    v = v.where((F.col("mm") < 0) | (own != F.col("base"))).withColumn("kmer", F.when(F.col("mm") < 0, F.col("kmer")).otherwise(changed))
+    q = staged(q)
+    few = q.count() * (1 + 3 * k) <= BROADCAST_ROWS
+    # Only k-mers that are asked for meet the contigs; their places are then counted.
+    hit = of.kmers(k).join(F.broadcast(v) if few else v, "kmer")
+    key = ["read_id", "strand", "qpos", "mm", "base", "ref_id"]
+    hit = hit.groupBy(*key).agg(F.min("pos").alias("rpos"), F.count("*").alias("occ")).where(F.col("occ") <= max_occ)
+    first = F.min(F.struct("mm", "base", "rpos")).alias("x")
+    best = hit.groupBy("read_id", "strand", "qpos", "ref_id").agg(first)
+    return best.select("read_id", "strand", "ref_id", "qpos", "x.rpos", F.lit(k).alias("len"), (F.col("x.mm") >= 0).alias("inexact"))
+
+
+def unmatched(reads: DataFrame, mems: DataFrame) -> DataFrame:
+    return reads.join(mems.select("read_id").distinct(), "read_id", "left_anti")
+
+
+def rescue_counts(reads: DataFrame, refs: DataFrame | Reference, mems: DataFrame, max_occ: int, sizes: tuple[int, ...] = RESCUE) -> DataFrame:
+    """(read_id, ref_id, k, seeds): how many short seeds of each length reads have that have no match at all.
 
     Occurrences are counted per contig and k-mer first, so the join never meets positions.
     """
-    lone = reads.join(mems.select("read_id").distinct(), "read_id", "left_anti")
-    q = kmers(lone, ["read_id"], k).groupBy("read_id", "kmer").agg(F.count("*").alias("n"))
-    r = kmers(refs, ["ref_id"], k).groupBy("ref_id", "kmer").agg(F.count("*").alias("occ")).where(F.col("occ") <= 20 * max_occ)
-    return r.join(q, "kmer").groupBy("read_id", "ref_id").agg(F.sum(F.col("n") * F.col("occ")).cast("long").alias("seeds"))
-
-
-def rescue_seeds(reads: DataFrame, refs: DataFrame, mems: DataFrame, k: int, max_occ: int) -> DataFrame:
-    """The seeds that ``rescue_counts`` counts, forward strand only."""
-    lone = reads.join(mems.select("read_id").distinct(), "read_id", "left_anti")
-    q = kmers(lone, ["read_id"], k).withColumnRenamed("pos", "qpos")
-    r = kmers(refs, ["ref_id"], k).withColumnRenamed("pos", "rpos")
-    r = r.withColumn("occ", F.count("*").over(Window.partitionBy("ref_id", "kmer"))).where(F.col("occ") <= 20 * max_occ)
-    return r.join(q, "kmer").select("read_id", F.lit("+").alias("strand"), "ref_id", "qpos", "rpos", F.lit(k).alias("len"))
+    lone, of, parts = unmatched(reads, mems), reference(refs), []
+    for k in sizes:
+        q = read_kmers(lone, k, ("read_id",)).groupBy("read_id", "kmer").agg(F.count("*").alias("n"))
+        r = of.kmers(k).groupBy("ref_id", "kmer").agg(F.count("*").alias("occ")).where(F.col("occ") <= 20 * max_occ)
+        n = r.join(q, "kmer").groupBy("read_id", "ref_id").agg(F.sum(F.col("n") * F.col("occ")).cast("long").alias("seeds"))
+        parts.append(n.select("read_id", "ref_id", F.lit(k).alias("k"), "seeds"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def rescue_seeds(lone: DataFrame, refs: DataFrame | Reference, max_occ: int, sizes: tuple[int, ...] = RESCUE) -> DataFrame:
+    """The seeds that ``rescue_counts`` counts of the reads in ``lone``, forward strand only."""
+    of, out = reference(refs), None
+    for k in sizes:
+        r = of.kmers(k)
+        rare = r.groupBy("ref_id", "kmer").agg(F.count("*").alias("occ")).where(F.col("occ") <= 20 * max_occ).select("ref_id", "kmer")
+        r = r.join(rare, ["ref_id", "kmer"])
+        hit = r.join(read_kmers(lone, k, ("read_id",)), "kmer").select("read_id", F.lit("+").alias("strand"), "ref_id", "qpos", F.col("pos").alias("rpos"), F.lit(k).alias("len"))
+        out = hit if out is None else out.unionByName(hit)
+    return out
 
 
 def best_hit(mems: DataFrame) -> DataFrame:

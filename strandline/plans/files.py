@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window, functions as F
 
 from ..functions import sequence as S
 from ..operators import alignment, index
 from ..sources import bam, sam, sequences as io
-from ..sources.staging import shared_folder
+from ..sources.staging import own_folder
 from .mapping import BASE, KMERS
 from .outputs import RECORDS, records
 from .sequences import CONTIGS, DNA, contigs, read, reads, refs
 
 
 def folder(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/strandline/{uuid.uuid4().hex}/{name}"
+    return f"{own_folder(spark)}/{name}"
 
 
 def fasta_scan(spark, sf_dir):

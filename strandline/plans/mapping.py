@@ -56,12 +56,12 @@ def unique_kmers(spark, sf_dir):
 
 
 def pattern_counts(spark, sf_dir):
-    """How often the first 19 bases of each read occur in all contigs."""
-    from ..operators.index import kmers
+    """How often each window of 19 bases of each read occurs in all contigs."""
+    from ..operators.index import reference
 
-    p = reads(spark, sf_dir).where(F.length("seq") >= K).select("read_id", F.substring("seq", 1, K).alias("kmer"))
-    n = kmers(refs(spark, sf_dir), ["ref_id"], K).join(p.select("kmer").distinct(), "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("n"))
-    return p.join(n, "kmer", "left").select("read_id", F.coalesce("n", F.lit(0)).alias("n"))
+    p = seeding.read_kmers(reads(spark, sf_dir), K, ("read_id",))
+    n = reference(refs(spark, sf_dir)).kmers(K).join(p.select("kmer").distinct(), "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("n"))
+    return p.join(n, "kmer", "left").select("read_id", "qpos", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def occurrence_cap(spark, sf_dir):
@@ -92,7 +92,8 @@ def one_mismatch(spark, sf_dir):
 
 
 def rescue_kmers(spark, sf_dir):
-    return seeding.rescue_counts(reads(spark, sf_dir), refs(spark, sf_dir), mems(spark, sf_dir), 5, 20)
+    """Seeds of five and of four bases of reads without any match, by contig."""
+    return seeding.rescue_counts(reads(spark, sf_dir), refs(spark, sf_dir), mems(spark, sf_dir), MAX_OCC)
 
 
 def mems_per_contig(spark, sf_dir):
@@ -132,10 +133,10 @@ def sam_lines(spark, sf_dir):
 
 
 def align_mates(spark, sf_dir):
-    """Reads cut in two: the first and the reversed last hundred bases are mates."""
-    r = reads(spark, sf_dir).where(F.length("seq") >= 150)
-    one = r.select(F.col("read_id").alias("pair_id"), F.lit(1).alias("mate"), "name", F.substring("seq", 1, 100).alias("seq"), "qual")
-    two = r.select(F.col("read_id").alias("pair_id"), F.lit(2).alias("mate"), "name", S.reverse_complement(F.right("seq", F.lit(100))).alias("seq"), "qual")
+    """Every read cut in two: its first half and its reversed second half are mates."""
+    r, half = reads(spark, sf_dir), F.ceil(F.length("seq") / 2).cast("int")
+    one = r.select(F.col("read_id").alias("pair_id"), F.lit(1).alias("mate"), "name", F.substring("seq", F.lit(1), half).alias("seq"), "qual")
+    two = r.select(F.col("read_id").alias("pair_id"), F.lit(2).alias("mate"), "name", S.reverse_complement(F.substring("seq", half + 1, F.length("seq"))).alias("seq"), "qual")
     rows = pairing.align_pairs(one.unionByName(two), refs(spark, sf_dir), preset("intractable"))
     return rows.select("pair_id", "mate", "kind", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen")
 
@@ -367,13 +368,35 @@ SPANS = """z AS (
   FROM z JOIN z p ON p.l_orderkey = z.l_orderkey AND p.rank = 1
 )"""
 
+ONE_MISMATCH = """{name}q AS (
+  SELECT k.* FROM read_kmers k JOIN gate g ON g.read_id = k.read_id AND g.strand = k.strand
+  WHERE k.strand = '{strand}' AND NOT EXISTS (SELECT 1 FROM ({covering}) m WHERE m.read_id = k.read_id AND k.qpos >= m.qpos AND k.qpos < m.qpos + m.len)
+), {name}v AS (
+  SELECT *, -1 AS mm, '=' AS base, kmer AS x FROM {name}q
+  UNION ALL
+  SELECT q.*, mm, base, substr(kmer, 1, mm) || base || substr(kmer, mm + 2) AS x FROM {name}q q, (SELECT unnest(range(0, {k})) AS mm), (SELECT unnest(['A', 'C', 'G', 'T']) AS base) WHERE substr(kmer, mm + 1, 1) <> base
+), {name}h AS (
+  SELECT *, row_number() OVER (PARTITION BY read_id, strand, qpos, ref_id ORDER BY mm, base) AS n FROM {name}v JOIN r USING (x)
+), {name} AS (
+  SELECT read_id, strand, ref_id, qpos, rpos, mm >= 0 AS inexact FROM {name}h WHERE n = 1
+)"""
+RESCUE = """p{k} AS (
+  SELECT ref_id, substr(s, i + 1, {k}) AS kmer FROM (SELECT ref_id, s, unnest(range(0, length(s) - {k} + 1)) AS i FROM (SELECT ref_id, substr(seq, o + 1, {more}) AS s FROM (SELECT ref_id, seq, unnest(range(0, length(seq) - {k} + 1, 1000)) AS o FROM refs WHERE length(seq) >= {k})))
+), r{k} AS (
+  SELECT ref_id, kmer, count(*) AS occ FROM p{k} WHERE NOT contains(kmer, 'N') GROUP BY ALL HAVING count(*) <= {most}
+), q{k} AS (
+  SELECT read_id, substr(seq, i + 1, {k}) AS kmer, count(*) AS n FROM (SELECT *, unnest(range(0, length(seq) - {k} + 1)) AS i FROM reads WHERE read_id NOT IN (SELECT read_id FROM mems)) GROUP BY ALL
+), s{k} AS (
+  SELECT read_id, ref_id, {k} AS k, CAST(sum(n * occ) AS BIGINT) AS seeds FROM r{k} JOIN q{k} USING (kmer) GROUP BY ALL
+)"""
+
 ORACLES = {
     "seed_join": f"WITH {HITS} SELECT read_id, strand, ref_id, count(*) AS n, CAST(sum(qpos) AS BIGINT) AS sum_qpos, CAST(sum(rpos) AS BIGINT) AS sum_rpos FROM hits GROUP BY ALL",
     "mem_islands": f"WITH {MEMS} SELECT * FROM mems",
     "best_hit": f"WITH {MEMS}, b AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY len DESC, ref_id, strand, rpos, qpos) AS n FROM mems) SELECT read_id, 'doc' || ref_id AS rname, strand, rpos + 1 AS pos, qpos, len, len || '=' AS cigar FROM b WHERE n = 1",
     "kmer_counts": f"WITH {BASE}, {KMERS.format(k=12)} SELECT kmer, count(*) AS n FROM ref_kmers GROUP BY kmer ORDER BY n DESC, kmer LIMIT 100",
     "unique_kmers": f"WITH {BASE}, {KMERS.format(k=20)}, q AS (SELECT read_id, substr(seq, i + 1, 20) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - 19)) AS i FROM reads)) SELECT read_id, count(*) AS n_unique FROM q WHERE NOT contains(kmer, 'N') AND kmer IN (SELECT kmer FROM ref_kmers GROUP BY kmer HAVING count(*) = 1) GROUP BY read_id",
-    "pattern_counts": f"WITH {BASE}, {KMERS.format(k=K)}, p AS (SELECT read_id, substr(seq, 1, {K}) AS kmer FROM reads WHERE length(seq) >= {K}) SELECT read_id, count(ref_id) AS n FROM p LEFT JOIN ref_kmers USING (kmer) GROUP BY read_id",
+    "pattern_counts": f"WITH {HITS}, n AS (SELECT kmer, count(*) AS n FROM ref_kmers GROUP BY kmer) SELECT read_id, qpos, coalesce(n, 0) AS n FROM read_kmers LEFT JOIN n USING (kmer) WHERE strand = '+'",
     "occurrence_cap": f"""WITH {MEMS}, o AS (SELECT *, count(*) OVER (PARTITION BY read_id, strand, ref_id, qpos, len) AS occ, row_number() OVER (PARTITION BY read_id, strand, ref_id, qpos, len ORDER BY rpos) AS n FROM mems)
 SELECT read_id, strand, ref_id, qpos, rpos, len, occ FROM o WHERE len >= {K} AND occ <= {MAX_OCC} AND n <= CASE WHEN len >= {2 * K} THEN 4 ELSE 1 END""",
     "containment": f"""WITH {MEMS} SELECT * FROM mems m WHERE NOT EXISTS (SELECT 1 FROM mems o WHERE o.read_id = m.read_id AND o.strand = m.strand AND o.ref_id = m.ref_id AND o.rpos - o.qpos = m.rpos - m.qpos
@@ -381,27 +404,12 @@ SELECT read_id, strand, ref_id, qpos, rpos, len, occ FROM o WHERE len >= {K} AND
     "strand_coverage": f"WITH {COVER} SELECT * FROM cover",
     "inexact_gate": f"WITH {COVER} SELECT * FROM gate",
     "strand_vote": f"WITH {MEMS}, v AS (SELECT read_id, CAST(coalesce(sum(len) FILTER (strand = '+'), 0) AS BIGINT) AS forward, CAST(coalesce(sum(len) FILTER (strand = '-'), 0) AS BIGINT) AS backward FROM mems GROUP BY read_id) SELECT *, backward > forward AS reverse FROM v",
-    "one_mismatch": f"""WITH {COVER}, q AS (
-  SELECT k.* FROM read_kmers k JOIN gate g ON g.read_id = k.read_id AND g.strand = k.strand
-  WHERE NOT EXISTS (SELECT 1 FROM mems m WHERE m.read_id = k.read_id AND m.strand = k.strand AND k.qpos >= m.qpos AND k.qpos < m.qpos + m.len)
-), v AS (
-  SELECT *, -1 AS mm, '=' AS base, kmer AS x FROM q
-  UNION ALL
-  SELECT q.*, mm, base, substr(kmer, 1, mm) || base || substr(kmer, mm + 2) AS x FROM q, (SELECT unnest(range(0, {K})) AS mm), (SELECT unnest(['A', 'C', 'G', 'T']) AS base) WHERE substr(kmer, mm + 1, 1) <> base
-), r AS (
+    "one_mismatch": f"""WITH {COVER}, r AS (
   SELECT kmer AS x, ref_id, min(rpos) AS rpos FROM ref_kmers GROUP BY ALL HAVING count(*) <= {MAX_OCC}
-), h AS (
-  SELECT *, row_number() OVER (PARTITION BY read_id, strand, qpos, ref_id ORDER BY mm, base) AS n FROM v JOIN r USING (x)
-)
-SELECT read_id, strand, ref_id, qpos, rpos, mm >= 0 AS inexact FROM h WHERE n = 1""",
-    "rescue_kmers": f"""WITH {MEMS}, p5 AS (
-  SELECT ref_id, substr(s, i + 1, 5) AS kmer FROM (SELECT ref_id, s, unnest(range(0, length(s) - 4)) AS i FROM (SELECT ref_id, substr(seq, o + 1, 1004) AS s FROM (SELECT ref_id, seq, unnest(range(0, length(seq) - 4, 1000)) AS o FROM refs WHERE length(seq) >= 5)))
-), r AS (
-  SELECT ref_id, kmer, count(*) AS occ FROM p5 WHERE NOT contains(kmer, 'N') GROUP BY ALL HAVING count(*) <= 400
-), q AS (
-  SELECT read_id, substr(seq, i + 1, 5) AS kmer, count(*) AS n FROM (SELECT *, unnest(range(0, length(seq) - 4)) AS i FROM reads WHERE read_id NOT IN (SELECT read_id FROM mems)) GROUP BY ALL
-)
-SELECT read_id, ref_id, CAST(sum(n * occ) AS BIGINT) AS seeds FROM r JOIN q USING (kmer) GROUP BY ALL""",
+), {ONE_MISMATCH.format(name="f", strand="+", k=K, covering="SELECT read_id, qpos, len FROM mems WHERE strand = '+'")},
+{ONE_MISMATCH.format(name="b", strand="-", k=K, covering=f"SELECT read_id, qpos, len FROM mems UNION ALL SELECT read_id, qpos, {K} FROM f")}
+SELECT * FROM f UNION ALL SELECT * FROM b""",
+    "rescue_kmers": f"WITH {MEMS}, " + ", ".join(RESCUE.format(k=k, more=999 + k, most=20 * MAX_OCC) for k in (5, 4)) + " SELECT * FROM s5 UNION ALL SELECT * FROM s4",
     "mems_per_contig": f"WITH {MEMS} SELECT refs.ref_id, count(mems.read_id) AS n FROM refs LEFT JOIN mems ON mems.ref_id = refs.ref_id GROUP BY refs.ref_id",
     "chain_edges": f"""WITH {MEMS} SELECT a.read_id, a.strand, a.ref_id, a.qpos AS q1, a.rpos AS r1, b.qpos AS q2, b.rpos AS r2, b.qpos - a.qpos - a.len AS qgap, b.rpos - a.rpos - a.len AS rgap FROM mems a JOIN mems b ON a.read_id = b.read_id AND a.strand = b.strand AND a.ref_id = b.ref_id
 WHERE b.qpos - a.qpos - a.len BETWEEN 0 AND 10000 AND b.rpos - a.rpos - a.len BETWEEN 0 AND 10000""",

@@ -162,19 +162,17 @@ def simulate(refs: DataFrame, n: int, length: int, error: float = 0.01, seed: st
 
     Contigs are drawn by their share of possible starts.
     """
-    spark = refs.sparkSession
-    from pyspark.sql import Window
+    from ..operators.index import locate, offsets, windows
 
-    starts = refs.where(F.length("seq") >= length).select("ref_id", "seq", (F.length("seq") - length + 1).cast("long").alias("starts"))
-    order = Window.orderBy("ref_id").rowsBetween(Window.unboundedPreceding, -1)
-    sums = starts.withColumn("from_", F.coalesce(F.sum("starts").over(order), F.lit(0)))
-    total = sums.agg(F.sum("starts")).first()[0] or 0
+    spark = refs.sparkSession
+    starts = refs.where(F.length("seq") >= length).select("ref_id", (F.length("seq") - length + 1).cast("long").alias("length"))
+    total = starts.agg(F.sum("length")).first()[0] or 0
     if not total:
         return spark.createDataFrame([], "read_id long, name string, seq string, qual string, ref_id long, pos int, reverse boolean")
     reads = spark.range(n).select(F.col("id").alias("read_id"), (digit(seed, F.col("id")) * (1 << 28) + digit(seed, F.col("id"), F.lit("b"))) % F.lit(total))
-    reads = reads.toDF("read_id", "at")
-    hit = (F.col("at") >= F.col("from_")) & (F.col("at") < F.col("from_") + F.col("starts"))
-    rows = reads.join(sums, hit).withColumn("pos", (F.col("at") - F.col("from_")).cast("int")).withColumn("true_seq", F.substring("seq", F.col("pos") + 1, F.lit(length)))
+    at = locate(reads.toDF("read_id", "position"), starts.join(offsets(starts), "ref_id"))
+    at = at.select("read_id", "ref_id", F.col("local").alias("window_begin"), (F.col("local") + length).alias("window_end"))
+    rows = windows(at, refs).select("read_id", "ref_id", F.col("window_begin").cast("int").alias("pos"), F.col("window").alias("true_seq"))
     rows = rows.withColumn("reverse", digit(seed, F.col("read_id"), F.lit("strand")) % 2 == 1)
     turned = F.when(F.col("reverse"), S.reverse_complement("true_seq")).otherwise(F.col("true_seq"))
     limit = int(error * (1 << 28))
