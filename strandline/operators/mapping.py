@@ -66,7 +66,8 @@ def accepted(cfg: Config) -> Column:
     return (F.col("sw.score") >= 10) & (2 * F.col("sw.score") >= F.col("score")) & (F.col("sw.score") >= cfg.min_output_score)
 
 
-PLACEMENT = ["read_id", "ref_id", "strand", "chain_rank", "next_score", "query_len", "pos0", "score", "qb", "qe", "ref_span", "cigar", "nm", "md", "skipped_best", "skipped_n"]
+#: Of equal scores the better chain comes first, so its rank precedes the rest.
+PLACEMENT = ["read_id", "chain_rank", "ref_id", "strand", "next_score", "query_len", "pos0", "score", "qb", "qe", "ref_span", "cigar", "nm", "md", "skipped_best", "skipped_n"]
 
 
 def extended(reads: DataFrame, refs: DataFrame | Reference, best: DataFrame, cfg: Config) -> DataFrame:
@@ -128,6 +129,14 @@ def is_split(p: Column, a: Column, cfg: Config) -> Column:
     return (both <= F.greatest(F.lit(5), F.floor(n / 10))) & (_outside(p, a) >= cfg.min_seed_len) & (combined * 10 >= n * 7) & enough
 
 
+def rivals() -> tuple[Column, Column, Column]:
+    """What the placement ``a`` competes with: the best other score, the second chain's score, and how many others there are.
+
+    Chains that were not extended compete with their scores.
+    """
+    return F.greatest("second", "a.skipped_best"), F.coalesce("a.next_score", F.lit(0)), F.col("n") - 1 + F.col("a.skipped_n")
+
+
 def hard_clipped(cigar: Column) -> Column:
     return F.translate(cigar, "S", "H")
 
@@ -152,9 +161,7 @@ def records(reads: DataFrame, refs: DataFrame | Reference, placed: DataFrame, cf
     supp = (F.col("i") == F.col("split_at")) | ((F.col("a.ref_id") != F.col("p.ref_id")) & (F.col("a.score") >= cfg.min_chain_score))
     kind = F.when(F.col("i") == F.col("first_"), "primary").when(supp & F.lit(cfg.output_supplementary), "supplementary").otherwise("secondary")
     rows = rows.withColumn("kind", kind)
-    # Chains that were not extended compete with their scores.
-    sub, csub = F.greatest("second", "a.skipped_best"), F.coalesce("a.next_score", F.lit(0))
-    quality = S.mapq("a.score", sub, csub, F.col("n") - 1 + F.col("a.skipped_n"), F.col("a.qe") - F.col("a.qb"), "a.ref_span", cfg.scoring.match, -cfg.scoring.mismatch, cfg.min_seed_len)
+    quality = S.mapq("a.score", *rivals(), F.col("a.qe") - F.col("a.qb"), "a.ref_span", cfg.scoring.match, -cfg.scoring.mismatch, cfg.min_seed_len)
     rows = rows.withColumn("mapq", F.when(F.col("kind") == "primary", quality).otherwise(F.lit(0)))
     names = reference(refs).contigs.select("ref_id", F.col("name").alias("rname"))
     rows = rows.withColumn("ref_id", F.col("a.ref_id")).join(names, "ref_id")
@@ -196,7 +203,7 @@ def tagged(rows: DataFrame, cfg: Config) -> DataFrame:
     tag = lambda name, value, when: F.when(when, F.concat(F.lit(name), value.cast("string")))
     tags = F.array_compact(F.array(
         tag("NM:i:", F.col("a.nm"), F.lit(True)), tag("AS:i:", F.col("a.score"), F.lit(True)), tag("MD:Z:", F.col("a.md"), F.lit(True)),
-        tag("SA:Z:", sa, (F.col("kind") != "secondary") & (sa != "")), tag("XA:Z:", xa, primary & (xa != "")), tag("XS:i:", F.col("second"), primary & (F.col("second") > 0)),
+        tag("SA:Z:", sa, (F.col("kind") != "secondary") & (sa != "")), tag("XA:Z:", xa, primary & (xa != "")), tag("XS:i:", F.col("a.next_score"), primary & (F.col("a.next_score") > 0)),
     ))
     return rows.withColumn("tags", tags).drop("others_")
 
@@ -216,4 +223,4 @@ def align_single(reads: DataFrame, refs: DataFrame | Reference, cfg: Config = Co
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-_EMPTY = "read_id long, ref_id long, strand string, chain_rank int, next_score int, query_len int, pos0 int, score int, qb int, qe int, ref_span int, cigar string, nm int, md string, skipped_best int, skipped_n int"
+_EMPTY = "read_id long, chain_rank int, ref_id long, strand string, next_score int, query_len int, pos0 int, score int, qb int, qe int, ref_span int, cigar string, nm int, md string, skipped_best int, skipped_n int"

@@ -12,6 +12,8 @@ from .alignment import aligner
 from .index import Reference, reference, windows
 
 SAMPLE, LEAST, QUALITY = 512, 20, 20
+#: Bases on either side of a mate that are searched while the insert size is unknown.
+WINDOW = 2000
 
 
 def interleaved(reads: DataFrame, ordinal: str = "ord") -> DataFrame:
@@ -32,19 +34,14 @@ def forward_reverse(pos1: Column, rev1: Column, pos2: Column, rev2: Column) -> C
     return (rev1 != rev2) & F.when(rev1, pos2 <= pos1).otherwise(pos1 <= pos2)
 
 
-def max_insert(stats: InsertSize, cfg: Config) -> float:
-    """The largest distance of 5' ends of a proper pair."""
-    if not stats.valid:
-        return float(cfg.max_gap)
-    far = stats.mean + 4 * stats.std
-    return max(200.0, min(far, stats.max_window) if stats.max_window > 0 else far)
+def reach(mean: Column, std: Column, most: Column, valid: Column, otherwise: float) -> Column:
+    """How far mates may lie apart: four deviations above the mean, at least 200 and at most ``most`` where that is set."""
+    far = mean + 4 * std
+    return F.when(valid, F.greatest(F.lit(200.0), F.when(most > 0, F.least(far, most)).otherwise(far))).otherwise(F.lit(float(otherwise)))
 
 
-def rescue_window(stats: InsertSize) -> int:
-    if not stats.valid:
-        return 2000
-    far = stats.mean + 4 * stats.std
-    return int(max(200.0, min(far, stats.max_window) if stats.max_window > 0 else far))
+def _known(stats: InsertSize) -> tuple[Column, Column, Column, Column]:
+    return F.lit(float(stats.mean)), F.lit(float(stats.std)), F.lit(float(stats.max_window)), F.lit(stats.valid)
 
 
 def trimmed_moments(values: DataFrame, value: str, order: str, first: int = SAMPLE, least: int = LEAST) -> DataFrame:
@@ -90,7 +87,7 @@ def rescued(reads: DataFrame, refs: DataFrame | Reference, primaries: DataFrame,
     lone = p.where(free("a") != free("b"))
     lost, anchor = F.when(free("a"), F.col("a")).otherwise(F.col("b")), F.when(free("a"), F.col("b")).otherwise(F.col("a"))
     lone = lone.select("pair_id", lost.alias("lost"), anchor.alias("anchor"))
-    w = rescue_window(stats)
+    w = reach(*_known(stats), WINDOW).cast("int")
     of = reference(refs)
     lengths = of.contigs.select("ref_id", F.col("length").alias("ref_len"))
     lone = lone.withColumn("ref_id", F.col("anchor.ref_id")).join(lengths, "ref_id")
@@ -113,7 +110,7 @@ def rescued(reads: DataFrame, refs: DataFrame | Reference, primaries: DataFrame,
     return both.select(*(new[c].alias(c) if c in new else F.col(f"lost.{c}").alias(c) for c in primaries.columns))
 
 
-def marked(rows: DataFrame, limit: float, cfg: Config) -> DataFrame:
+def marked(rows: DataFrame, limit: Column, cfg: Config) -> DataFrame:
     """Records of pairs with flags, mate fields, template lengths and the quality of rescued ends."""
     prim = rows.where("kind = 'primary'")
     p = five_ends(joined(prim))
@@ -148,4 +145,4 @@ def align_pairs(reads: DataFrame, refs: DataFrame | Reference, cfg: Config = Con
         new = staged(rescued(each, refs, prim, stats, cfg))
         old = rows.join(new.select("read_id", "kind"), ["read_id", "kind"], "left_anti").select(rows.columns)
         rows = old.unionByName(new.select(rows.columns))
-    return marked(rows, max_insert(stats, cfg), cfg)
+    return marked(rows, reach(*_known(stats), cfg.max_gap), cfg)

@@ -150,7 +150,7 @@ def simulated_accuracy(spark, sf_dir):
 
 
 def simulated_reads(spark, sf_dir):
-    return io.simulate(contigs(spark, sf_dir), 200, 120, 0.01).select("read_id", "ref_id", "pos", "reverse", F.length("seq").alias("length"))
+    return io.simulate(contigs(spark, sf_dir), 200, 120, 0.01).select("read_id", "ref_id", "pos", "reverse", "seq")
 
 
 def pairwise_local(spark, sf_dir):
@@ -195,16 +195,6 @@ def insert_moments(spark, sf_dir):
     return m.select(F.col("n").alias("n_pairs"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-def rescue_limits(spark, sf_dir):
-    """Largest proper insert and rescue window from a mean and a deviation per order."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 500).alias("mean"), (F.col("o_orderkey") % 90).alias("std"))
-    far = F.col("mean") + 4 * F.col("std")
-    valid = F.col("mean") >= 100
-    limit = F.when(valid, F.greatest(F.lit(200), F.least(far, F.lit(700)))).otherwise(F.lit(10_000))
-    window = F.when(valid, F.greatest(F.lit(200), F.least(far, F.lit(700)))).otherwise(F.lit(2000))
-    return o.select("o_orderkey", limit.cast("long").alias("max_insert"), window.cast("long").alias("window"))
-
-
 def interleaved_pairs(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "event_type")
     p = pairing.interleaved(e, "event_id")
@@ -218,16 +208,6 @@ def zipped_pairs(spark, sf_dir):
     return pairing.zipped(one, two).select("pair_id", "mate", "name")
 
 
-def near_placements(spark, sf_dir):
-    """Placements of a customer's orders with no better one within five positions, taken best first."""
-    o = read(spark, sf_dir, "orders")
-    row = F.struct((-F.col("o_totalprice")).alias("s"), "o_orderkey", (F.col("o_orderkey") % 40).alias("pos"))
-    per = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(row)).alias("x"))
-    near = lambda kept, a: F.exists(kept, lambda b: F.abs(b["pos"] - a["pos"]) <= 5)
-    kept = F.aggregate("x", F.filter("x", lambda a: F.lit(False)), lambda k, a: F.when(near(k, a), k).otherwise(F.array_append(k, a)))
-    return per.select("o_custkey", F.explode(kept).alias("k")).select("o_custkey", F.col("k.o_orderkey").alias("o_orderkey"), F.col("k.pos").alias("pos"))
-
-
 def spans(spark, sf_dir) -> DataFrame:
     """Lines of an order as segments of a read, best first."""
     li = read(spark, sf_dir, "lineitem")
@@ -239,14 +219,6 @@ def spans(spark, sf_dir) -> DataFrame:
     return s.withColumn("p", F.first(p).over(first)).withColumn("best", F.max("score").over(first))
 
 
-def extension_gate(spark, sf_dir):
-    """Which chains need an alignment of their own."""
-    s = spans(spark, sf_dir)
-    a = F.struct("qb", "qe")
-    apart = (mapping._overlap(F.col("p"), a) <= 13) & (mapping._outside(F.col("p"), a) >= 9)
-    return s.select("l_orderkey", "rank", ((F.col("rank") == 1) | (F.col("ref_id") != F.col("p.ref_id")) | apart).alias("extend"))
-
-
 def split_segments(spark, sf_dir):
     """The first of the next three segments that covers what the primary leaves."""
     s = spans(spark, sf_dir).where("rank between 2 and 4")
@@ -255,67 +227,12 @@ def split_segments(spark, sf_dir):
     return s.withColumn("n", F.row_number().over(first)).where("n = 1").select("l_orderkey", "rank", "qb", "qe")
 
 
-def cross_contig(spark, sf_dir):
-    """Segments on other contigs than the primary that become supplementary, four at most."""
-    s = spans(spark, sf_dir).where((F.col("rank") > 1) & (F.col("ref_id") != F.col("p.ref_id")) & (F.col("score") >= 10))
-    order = Window.partitionBy("l_orderkey").orderBy("rank")
-    return s.withColumn("n", F.row_number().over(order)).where("n <= 4").select("l_orderkey", "rank", "n")
-
-
-def accepted_extensions(spark, sf_dir):
-    s = spans(spark, sf_dir)
-    return s.where((F.col("score") >= 10) & (2 * F.col("score") >= F.col("qe") - 20) & (F.col("score") >= 15)).select("l_orderkey", "rank", "score")
-
-
-def read_scores(spark, sf_dir):
-    """Best and second score of a read, and the number of its other alignments."""
-    s = spans(spark, sf_dir)
-    return s.groupBy("l_orderkey").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), (F.count("*") - 1).alias("sub_n"))
-
-
-def smallest_coordinate(spark, sf_dir):
-    """The segment with the smallest (contig, position) of each read becomes its primary."""
-    s = spans(spark, sf_dir).where("rank <= 4")
-    return s.groupBy("l_orderkey").agg(F.min(F.struct("ref_id", "pos", "rank")).alias("m")).select("l_orderkey", F.col("m.rank").alias("primary_rank"))
-
-
-def sa_tags(spark, sf_dir):
-    """SA of each segment: the others of its read, in rank order."""
-    s = spans(spark, sf_dir).where("rank <= 3")
-    entry = S.sa_entry(F.concat(F.lit("chr"), F.col("ref_id").cast("string")), "pos", F.col("qb") % 2 == 1, F.concat(F.col("score").cast("string"), F.lit("M")), F.col("score"), F.col("rank"))
-    all_of = Window.partitionBy("l_orderkey").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("x", F.collect_list(F.struct("rank", entry.alias("e"))).over(all_of))
-    return s.select("l_orderkey", "rank", F.array_join(F.transform(F.filter("x", lambda y: y["rank"] != F.col("rank")), lambda y: y["e"]), "").alias("sa"))
-
-
-def xa_tags(spark, sf_dir):
-    """XA of each read: secondary hits near the best score, if there are few."""
-    s = spans(spark, sf_dir).where((F.col("rank") > 1) & (F.col("score") > F.floor((4 * F.col("best") + 2) / 5)))
-    hit = F.concat(F.lit("chr"), F.col("ref_id").cast("string"), F.lit(",+"), F.col("pos").cast("string"), F.lit(","), F.col("score").cast("string"), F.lit("M;"))
-    g = s.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("rank", hit.alias("h")))).alias("x"))
-    return g.where(F.size("x").between(1, 4)).select("l_orderkey", F.array_join(F.transform("x", lambda y: y["h"]), "").alias("xa"))
-
-
-def supplementary_rows(spark, sf_dir):
-    """Supplementary records: flag, quality zero, edits of the aligned part, score."""
-    s = spans(spark, sf_dir).where("rank = 2")
-    return s.select("l_orderkey", S.flag(supplementary=F.lit(True), reverse=F.col("qb") % 2 == 1).alias("flag"), F.lit(0).alias("mapq"), F.concat(F.lit("NM:i:"), (F.col("score") % 5).cast("string"), F.lit("\tAS:i:"), F.col("score").cast("string")).alias("tags"))
-
-
-def unmapped_rows(spark, sf_dir):
-    """Every customer as a read, with defaults where no order places it."""
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("pos"))
-    j = c.join(o, c.c_custkey == o.o_custkey, "left")
-    return j.select("c_custkey", F.when(F.col("pos").isNull(), 4).otherwise(0).alias("flag"), F.when(F.col("pos").isNull(), "*").otherwise("chr1").alias("rname"), F.coalesce("pos", F.lit(0)).alias("pos"), F.when(F.col("pos").isNull(), "*").otherwise("10M").alias("cigar"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         seed_join, mem_islands, best_hit, kmer_counts, unique_kmers, pattern_counts, occurrence_cap, containment, strand_coverage, inexact_gate, strand_vote, one_mismatch, rescue_kmers, mems_per_contig, chain_edges, chain_table,
-        align_reads, align_all, sam_lines, align_mates, simulated_accuracy, simulated_reads, pairwise_local, pairwise_global, proper_pairs, insert_moments, rescue_limits, interleaved_pairs, zipped_pairs, near_placements,
-        extension_gate, split_segments, cross_contig, accepted_extensions, read_scores, smallest_coordinate, sa_tags, xa_tags, supplementary_rows, unmapped_rows,
+        align_reads, align_all, sam_lines, align_mates, simulated_accuracy, simulated_reads, pairwise_local, pairwise_global, proper_pairs, insert_moments, interleaved_pairs, zipped_pairs, 
+        split_segments, 
     )
 }
 
@@ -368,6 +285,20 @@ SPANS = """z AS (
   FROM z JOIN z p ON p.l_orderkey = z.l_orderkey AND p.rank = 1
 )"""
 
+DIGIT = "CAST('0x' || substr(md5(concat_ws(':', {0})), 1, 7) AS BIGINT)"
+SIMULATED = f"""starts AS (
+  SELECT ref_id, seq, length(seq) - 119 AS n FROM refs WHERE length(seq) >= 120
+), sums AS (
+  SELECT *, coalesce(sum(n) OVER (ORDER BY ref_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, sum(n) OVER () AS total FROM starts
+), drawn AS (
+  SELECT i AS read_id, ({DIGIT.format("'7', i")} * 268435456 + {DIGIT.format("'7', i, 'b'")}) % (SELECT any_value(total) FROM sums)::BIGINT AS place, {DIGIT.format("'7', i, 'strand'")} % 2 = 1 AS reverse FROM range(200) g(i)
+), clean AS (
+  SELECT read_id, ref_id, CAST(place - base AS INTEGER) AS pos, reverse, substr(seq, CAST(place - base AS BIGINT) + 1, 120) AS s FROM drawn JOIN sums ON place >= base AND place < base + n
+), bases AS (
+  SELECT read_id, ref_id, pos, reverse, j, substr(CASE WHEN reverse THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END, j + 1, 1) AS c FROM clean, range(120) g(j)
+), noisy AS (
+  SELECT *, CASE WHEN c <> 'N' AND {DIGIT.format("'7', read_id, j, 'e'")} < 2684354 THEN substr('ACGT', (instr('ACGT', c) + {DIGIT.format("'7', read_id, j, 's'")} % 3) % 4 + 1, 1) ELSE c END AS d FROM bases
+)"""
 ONE_MISMATCH = """{name}q AS (
   SELECT k.* FROM read_kmers k JOIN gate g ON g.read_id = k.read_id AND g.strand = k.strand
   WHERE k.strand = '{strand}' AND NOT EXISTS (SELECT 1 FROM ({covering}) m WHERE m.read_id = k.read_id AND k.qpos >= m.qpos AND k.qpos < m.qpos + m.len)
@@ -413,24 +344,12 @@ SELECT * FROM f UNION ALL SELECT * FROM b""",
     "mems_per_contig": f"WITH {MEMS} SELECT refs.ref_id, count(mems.read_id) AS n FROM refs LEFT JOIN mems ON mems.ref_id = refs.ref_id GROUP BY refs.ref_id",
     "chain_edges": f"""WITH {MEMS} SELECT a.read_id, a.strand, a.ref_id, a.qpos AS q1, a.rpos AS r1, b.qpos AS q2, b.rpos AS r2, b.qpos - a.qpos - a.len AS qgap, b.rpos - a.rpos - a.len AS rgap FROM mems a JOIN mems b ON a.read_id = b.read_id AND a.strand = b.strand AND a.ref_id = b.ref_id
 WHERE b.qpos - a.qpos - a.len BETWEEN 0 AND 10000 AND b.rpos - a.rpos - a.len BETWEEN 0 AND 10000""",
+    "simulated_reads": f"WITH {BASE}, {SIMULATED} SELECT read_id, ref_id, pos, reverse, string_agg(d, '' ORDER BY j) AS seq FROM noisy GROUP BY ALL",
     "proper_pairs": f'WITH {PAIRS} SELECT pair_id, "insert", facing, facing AND "insert" <= 800 AS proper FROM pairs',
     "insert_moments": f"""WITH {PAIRS}, c AS (SELECT "insert" AS v, pair_id FROM pairs WHERE facing AND qa >= 20 AND qb >= 20 AND pair_id < 512), r AS (SELECT v, row_number() OVER (ORDER BY v, pair_id) AS k, count(*) OVER () AS n FROM c)
 SELECT n AS n_pairs, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM r WHERE n >= 20 AND k > n // 10 AND k <= n - n // 10 GROUP BY n""",
-    "rescue_limits": """WITH o AS (SELECT o_orderkey, o_custkey % 500 AS mean, o_orderkey % 90 AS std FROM orders)
-SELECT o_orderkey, CASE WHEN mean >= 100 THEN greatest(200, least(mean + 4 * std, 700)) ELSE 10000 END AS max_insert, CASE WHEN mean >= 100 THEN greatest(200, least(mean + 4 * std, 700)) ELSE 2000 END AS "window" FROM o""",
     "interleaved_pairs": "SELECT event_id // 2 AS pair_id, max(event_type) FILTER (event_id % 2 = 0) AS first, max(event_type) FILTER (event_id % 2 = 1) AS second FROM events GROUP BY ALL",
     "zipped_pairs": "SELECT c_custkey AS pair_id, 1 AS mate, c_name AS name FROM customer SEMI JOIN supplier ON s_suppkey = c_custkey UNION ALL SELECT s_suppkey, 2, s_name FROM supplier SEMI JOIN customer ON s_suppkey = c_custkey",
-    "extension_gate": f"WITH {SPANS} SELECT l_orderkey, rank, rank = 1 OR ref_id <> pref OR (ov <= 13 AND ext >= 9) AS extend FROM s",
     "split_segments": f"""WITH {SPANS}, t AS (SELECT l_orderkey, rank, qb, qe, row_number() OVER (PARTITION BY l_orderkey ORDER BY rank) AS n FROM s WHERE rank BETWEEN 2 AND 4 AND ov <= 13 AND ext >= 9 AND (pqe - pqb + qe - qb - ov) * 10 >= 910 AND qe - qb >= 9 AND score >= 10)
 SELECT l_orderkey, rank, qb, qe FROM t WHERE n = 1""",
-    "cross_contig": f"WITH {SPANS}, t AS (SELECT l_orderkey, rank, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY rank) AS INTEGER) AS n FROM s WHERE rank > 1 AND ref_id <> pref AND score >= 10) SELECT * FROM t WHERE n <= 4",
-    "accepted_extensions": f"WITH {SPANS} SELECT l_orderkey, rank, score FROM s WHERE score >= 15 AND 2 * score >= qe - 20",
-    "read_scores": f"WITH {SPANS} SELECT l_orderkey, max(score) FILTER (rank = 1) AS best, max(score) FILTER (rank = 2) AS second, count(*) - 1 AS sub_n FROM s GROUP BY l_orderkey",
-    "smallest_coordinate": f"WITH {SPANS} SELECT l_orderkey, arg_min(rank, ref_id * 100000000000 + pos * 100 + rank) AS primary_rank FROM s WHERE rank <= 4 GROUP BY l_orderkey",
-    "sa_tags": f"""WITH {SPANS}, e AS (SELECT l_orderkey, rank, 'chr' || ref_id || ',' || pos || ',' || CASE WHEN qb % 2 = 1 THEN '-' ELSE '+' END || ',' || score || 'M,' || score || ',' || rank || ';' AS e FROM s WHERE rank <= 3)
-SELECT a.l_orderkey, a.rank, coalesce(string_agg(b.e, '' ORDER BY b.rank), '') AS sa FROM e a LEFT JOIN e b ON a.l_orderkey = b.l_orderkey AND a.rank <> b.rank GROUP BY a.l_orderkey, a.rank""",
-    "xa_tags": f"""WITH {SPANS} SELECT l_orderkey, string_agg('chr' || ref_id || ',+' || pos || ',' || score || 'M;', '' ORDER BY rank) AS xa FROM s WHERE rank > 1 AND score > (4 * best + 2) // 5 GROUP BY l_orderkey HAVING count(*) BETWEEN 1 AND 4""",
-    "supplementary_rows": f"WITH {SPANS} SELECT l_orderkey, CAST(2048 + CASE WHEN qb % 2 = 1 THEN 16 ELSE 0 END AS INTEGER) AS flag, 0 AS mapq, 'NM:i:' || score % 5 || chr(9) || 'AS:i:' || score AS tags FROM s WHERE rank = 2",
-    "unmapped_rows": """WITH o AS (SELECT o_custkey, min(o_orderkey) AS pos FROM orders GROUP BY ALL)
-SELECT c_custkey, CASE WHEN pos IS NULL THEN 4 ELSE 0 END AS flag, CASE WHEN pos IS NULL THEN '*' ELSE 'chr1' END AS rname, coalesce(pos, 0) AS pos, CASE WHEN pos IS NULL THEN '*' ELSE '10M' END AS cigar FROM customer LEFT JOIN o ON o_custkey = c_custkey""",
 }

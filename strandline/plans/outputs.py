@@ -44,20 +44,6 @@ def bai_unplaced(spark, sf_dir):
     return bam.unplaced(placed(spark, sf_dir))
 
 
-def chunk_ends(spark, sf_dir):
-    """Each record's end as the next record's begin within its contig."""
-    order = Window.partitionBy("ref_idx").orderBy("beg")
-    return placed(spark, sf_dir).select("l_orderkey", "l_linenumber", F.coalesce(F.lead("beg").over(order), F.lit(-1)).alias("next_beg"))
-
-
-def backfill(spark, sf_dir):
-    """The offset of every window up to a contig's last, unknown ones filled from the next."""
-    hit = placed(spark, sf_dir).where("ref_idx >= 0").groupBy("ref_idx", F.shiftright("pos0", 12).alias("win")).agg(F.min("beg").alias("off"))
-    every = hit.groupBy("ref_idx").agg(F.max("win").alias("m")).select("ref_idx", F.explode(F.sequence(F.lit(0), "m")).alias("win"))
-    ahead = Window.partitionBy("ref_idx").orderBy("win").rowsBetween(0, Window.unboundedFollowing)
-    return every.join(hit, ["ref_idx", "win"], "left").select("ref_idx", "win", F.first("off", ignorenulls=True).over(ahead).alias("off"))
-
-
 def index_check(spark, sf_dir):
     """Records whose first window points beyond them; none if the index is right."""
     p, lin = placed(spark, sf_dir).where("ref_idx >= 0"), bai_linear(spark, sf_dir)
@@ -125,22 +111,6 @@ def same_records(spark, sf_dir):
     return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("different"))
 
 
-def accuracy_counts(spark, sf_dir):
-    """Records against true places: orders are reads, customers' keys are true positions."""
-    r = records(spark, sf_dir)
-    t = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), (F.col("o_custkey") + F.col("o_orderkey") % 9).alias("true_pos"))
-    j = t.join(r, "read_id", "left")
-    mapped = ~S.has_flag("flag", "unmapped")
-    near = mapped & (F.abs(F.col("pos") - F.col("true_pos")) <= 5)
-    return j.agg(F.count("*").alias("reads"), F.count_if(mapped).alias("mapped"), F.count_if(near).alias("correct_pos"), F.count_if(mapped & (F.col("mapq") >= 30)).alias("confident"), F.round(F.avg(F.when(mapped, F.col("mapq"))), 6).alias("avg_mapq"))
-
-
-def last_record(spark, sf_dir):
-    """The last of the lines of each order, as later records of a name replace earlier ones."""
-    li = read(spark, sf_dir, "lineitem")
-    return li.groupBy("l_orderkey").agg(F.max(F.struct("l_linenumber", "l_partkey")).alias("m")).select("l_orderkey", F.col("m.l_partkey").alias("l_partkey"))
-
-
 # Sorts, limits and sets.
 
 
@@ -250,7 +220,7 @@ def column_counts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        coordinate_order, bai_bins, bai_linear, bai_unplaced, chunk_ends, backfill, index_check, sorted_check, sam_text, sam_header, sam_parse, split_flags, emission_order, bam_fields, same_records, accuracy_counts, last_record,
+        coordinate_order, bai_bins, bai_linear, bai_unplaced, index_check, sorted_check, sam_text, sam_header, sam_parse, split_flags, emission_order, bam_fields, same_records, 
         radix_order, pair_order, match_order, partial_order, nth_elements, sorted_positions, bounds, distinct_values, all_matches, set_difference, set_intersection, decile_trim, union_coverage, column_counts,
     )
 }
@@ -284,9 +254,6 @@ ORACLES = {
 u AS (SELECT *, sum(fresh) OVER (PARTITION BY ref_idx, bin ORDER BY beg) AS run FROM g) SELECT ref_idx, bin, min(beg) AS beg, max("end") AS "end" FROM u GROUP BY ref_idx, bin, run""",
     "bai_linear": f"WITH {LINEAR} SELECT * FROM linear",
     "bai_unplaced": f"WITH {PLACED} SELECT count(*) FILTER (ref_idx < 0) AS n_no_coor FROM placed",
-    "chunk_ends": f"WITH {PLACED} SELECT l_orderkey, l_linenumber, coalesce(lead(beg) OVER (PARTITION BY ref_idx ORDER BY beg), -1) AS next_beg FROM placed",
-    "backfill": f"""WITH {PLACED}, h AS (SELECT ref_idx, pos0 >> 12 AS win, min(beg) AS off FROM placed WHERE ref_idx >= 0 GROUP BY ALL), every AS (SELECT ref_idx, CAST(unnest(range(0, m + 1)) AS INTEGER) AS win FROM (SELECT ref_idx, max(win) AS m FROM h GROUP BY ALL))
-SELECT every.ref_idx, every.win, (SELECT min(h.off) FROM h WHERE h.ref_idx = every.ref_idx AND h.win >= every.win) AS off FROM every""",
     "index_check": f"WITH {LINEAR} SELECT count(*) AS n, count(*) FILTER (off > beg) AS beyond FROM placed JOIN linear ON linear.ref_idx = placed.ref_idx AND linear.win = placed.pos0 >> 14",
     "sorted_check": f"WITH {PLACED}, p AS (SELECT ref_idx, pos0, lag(pos0) OVER (PARTITION BY ref_idx ORDER BY beg) AS prev FROM placed) SELECT ref_idx, count(*) FILTER (prev > pos0) AS steps_back FROM p GROUP BY ref_idx",
     "sam_text": f"WITH {RECORDS} SELECT read_id, concat_ws(chr(9), name, flag, rname, pos, mapq, cigar, rnext, 1, 0, 'ACGTACGTACGTACGTACGT', '*', tags) AS value FROM rec",
@@ -301,8 +268,6 @@ UNION ALL SELECT 3, 0, '@PG' || chr(9) || 'ID:strandline' || chr(9) || 'PN:stran
 )
 SELECT *, CAST(CASE WHEN ref_idx < 0 THEN 4680 WHEN pos0 >> 14 = (end0 - 1) >> 14 THEN 4681 + (pos0 >> 14) WHEN pos0 >> 17 = (end0 - 1) >> 17 THEN 585 + (pos0 >> 17) ELSE 0 END AS INTEGER) AS bin FROM p""",
     "same_records": "SELECT CAST(0 AS BIGINT) AS different",
-    "accuracy_counts": f"WITH {RECORDS} SELECT count(*) AS reads, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 4 = 0 AND abs(pos - (o_custkey + read_id % 9)) <= 5) AS correct_pos, count(*) FILTER (flag & 4 = 0 AND mapq >= 30) AS confident, round(avg(mapq) FILTER (flag & 4 = 0), 6) AS avg_mapq FROM rec",
-    "last_record": "SELECT l_orderkey, arg_max(l_partkey, l_linenumber * 1000000000000 + l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey",
     "radix_order": "SELECT c_custkey, c_acctbal, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS INTEGER) AS rank FROM customer",
     "pair_order": "SELECT l_suppkey, l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey, l_linenumber) AS INTEGER) AS rank FROM lineitem",
     "match_order": "SELECT l_orderkey, string_agg(l_linenumber, ',' ORDER BY l_partkey % 80, l_suppkey % 4, -l_quantity, l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey",

@@ -190,25 +190,6 @@ def chain_windows(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", b.alias("window_begin"), e.alias("window_end"))
 
 
-def clip_rewrite(spark, sf_dir):
-    """A supplementary CIGAR and sequence from a query span: outer clips replaced, the sequence cut."""
-    li = read(spark, sf_dir, "lineitem")
-    qb, qe, n = (F.col("l_linenumber") * 3).cast("int"), (F.col("l_linenumber") * 3 + F.col("l_quantity")).cast("int"), F.lit(80)
-    core = F.concat((qe - qb).cast("string"), F.lit("="))
-    soft = F.concat(qb.cast("string"), F.lit("S"), core, (n - qe).cast("string"), F.lit("S"))
-    hard = F.translate(soft, "S", "H")
-    full = F.repeat(F.lit("ACGTTGCA"), 10)
-    return li.select("l_orderkey", "l_linenumber", soft.alias("soft"), hard.alias("hard"), F.substring(full, qb + 1, qe - qb).alias("seq"))
-
-
-def length_config(spark, sf_dir):
-    """The knobs that a read's length selects."""
-    r = reads(spark, sf_dir)
-    long = F.length("seq") > 250
-    pick = lambda a, b: F.when(long, F.lit(a)).otherwise(F.lit(b))
-    return r.select("read_id", pick("long_reads", "default").alias("preset"), pick(10_000, 500).alias("max_occ"), pick(128, 32).alias("band"), pick(20, 10).alias("min_chain_score"))
-
-
 def suffix_array(spark, sf_dir):
     """Suffix ranks of short contigs, the end before N before the bases."""
     s = reads(spark, sf_dir).select("read_id", F.concat(F.translate("seq", "NACGT", "12345"), F.lit("0")).alias("t"))
@@ -284,7 +265,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         contig_table, total_length, encode_bases, reverse_complements, contig_md5, normalize_bases, locate_sequence, extract_ref, random_bases, cigar_pack, cigar_format, cigar_parse, cigar_spans, bins, mapping_quality, sam_flags, template_lengths,
-        phred, byte_sizes, header_parts, fasta_lines, string_functions, container_functions, chain_windows, clip_rewrite, length_config, suffix_ranks, bwt_text, rank_table, symbol_starts, last_to_first, doubling_ranks,
+        phred, byte_sizes, header_parts, fasta_lines, string_functions, container_functions, chain_windows, suffix_ranks, bwt_text, rank_table, symbol_starts, last_to_first, doubling_ranks,
     )
 }
 
@@ -331,9 +312,6 @@ SELECT o_orderkey, CASE WHEN n >= 1099511627776 THEN printf('%.2f TB', n / 10995
 SELECT l_orderkey, CAST(len(v) AS INTEGER) AS size, array_to_string(list_append(v, 7), ',') AS pushed, array_to_string(list_reverse(v[1:2]), ',') AS head, array_to_string(list_sort(list_distinct(v)), ',') AS "unique",
   coalesce(list_filter(v, lambda x: x % 3 = 0)[1], -1) AS zero, len(list_filter(v, lambda x: x % 3 = 1)) > 0 AS has_one, CAST(len(list_distinct(list_append(list_transform(v, lambda x: x % 3), 0))) AS INTEGER) AS n_keys FROM o""",
     "chain_windows": "SELECT l_orderkey, l_linenumber, greatest(0, l_partkey - CAST(l_quantity AS INTEGER) - 16) AS window_begin, least(1500, l_partkey - CAST(l_quantity AS INTEGER) + 166) AS window_end FROM lineitem",
-    "clip_rewrite": """WITH p AS (SELECT l_orderkey, l_linenumber, CAST(l_linenumber * 3 AS INTEGER) AS qb, CAST(l_linenumber * 3 + l_quantity AS INTEGER) AS qe FROM lineitem)
-SELECT l_orderkey, l_linenumber, qb || 'S' || (qe - qb) || '=' || (80 - qe) || 'S' AS soft, qb || 'H' || (qe - qb) || '=' || (80 - qe) || 'H' AS hard, substr(repeat('ACGTTGCA', 10), qb + 1, qe - qb) AS seq FROM p""",
-    "length_config": f"WITH r AS (SELECT item_id AS read_id, length({DNA}) > 250 AS l FROM benchmark) SELECT read_id, CASE WHEN l THEN 'long_reads' ELSE 'default' END AS preset, CAST(CASE WHEN l THEN 10000 ELSE 500 END AS INTEGER) AS max_occ, CAST(CASE WHEN l THEN 128 ELSE 32 END AS INTEGER) AS band, CAST(CASE WHEN l THEN 20 ELSE 10 END AS INTEGER) AS min_chain_score FROM r",
     "suffix_ranks": f"WITH {SUFFIXES} SELECT read_id, CAST(pos AS INTEGER) AS pos, CAST(rank AS INTEGER) AS rank FROM sa",
     "bwt_text": f"WITH {SUFFIXES} SELECT read_id, string_agg(symbol, '' ORDER BY rank) AS bwt FROM bwt GROUP BY read_id",
     "rank_table": f"WITH {SUFFIXES} SELECT read_id, CAST(rank AS INTEGER) AS rank, symbol, count(*) OVER (PARTITION BY read_id, symbol ORDER BY rank) AS occ FROM bwt",
