@@ -150,19 +150,16 @@ def within_edits(pairs: DataFrame, edits: int) -> DataFrame:
 def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """``lines(id, line, size)``, distinct and staged, to verified links (u, v) between ids.  Ids are even."""
     spark = lines.sparkSession
-    # Keys that one line alone has, or that no line is indexed by, are dropped: partial sums tell the others, and a Bloom filter of these, of a bounded
-    # size, keeps the rest from being shuffled.
+    # Keys that one line alone has, or that no line is indexed by, are dropped: partial sums tell the others, which are
+    # joined back as a table of their own, so that no task holds a key and AQE can split a large one.  The join is of one
+    # kind at every size, for the table of shared keys grows with the lines.
     rows = keys(lines, edits, least)
     ends = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count_if("own").alias("entries"))
     shared = stage(ends.where("a <> z and entries > 0").select("key", F.ceil(F.col("entries") / CHUNK).cast("int").alias("parts")), "shared")
-    before = spark.conf.get(BLOOM)
-    spark.conf.set(BLOOM, "0")
-    try:
-        met = stage(rows.join(shared, "key").select("key", "id", "own", "parts"), "met")
-    finally:
-        spark.conf.set(BLOOM, before)
+    met = stage(rows.join(shared.hint("merge"), "key").select("key", "id", "own", "parts"), "met")
     # No id is odd, so the filter keeps all; it lets Spark filter the lines by a Bloom filter of a bounded size before it shuffles them.
     asked = stage(met.select("id").distinct(), "asked").where("id <> 1")
+    before = spark.conf.get(BLOOM)
     spark.conf.set(BLOOM, "0")
     try:
         texts = stage(lines.join(asked, "id").select("id", "line", "size", char_counts(F.col("line")).alias("counts")), "texts")

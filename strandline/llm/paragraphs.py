@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLOOM, discard, stage, whole_text
+from .common import discard, stage, whole_text
 from .components import components
 from .forest import bucket_links, sized, told_apart
 from .simhash import LOWER
@@ -230,22 +230,16 @@ def alike(t: pa.Table, similarity: float = SIMILARITY) -> np.ndarray:
 def colliding(nodes: DataFrame, size: int) -> DataFrame:
     """(bucket, id, size): the nodes that share a bucket with others, but for overlapping ones of one text.
 
-    Buckets are told by partial sums first; a Bloom filter of those with several nodes, of a bounded size, then keeps the
-    other keys from being shuffled, and AQE can split a bucket that very many paragraphs share.
+    Buckets are told by partial sums first; those with several nodes are joined back as a table of their own, so no task
+    holds a bucket and AQE can split one that very many paragraphs share.  The join is of one kind at every size.
     """
-    spark = nodes.sparkSession
     keys = nodes.select("id", F.explode(F.array(*BAND_NAMES)).alias("bucket"))
     ends = keys.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"))
     text, start = (lambda c: F.shiftright(c, START_BITS)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << START_BITS) - 1)))
     apart = (text("a") != text("z")) | (start("z") - start("a") >= size)
     several = stage(ends.where(apart).select("bucket"), "several")
-    before = spark.conf.get(BLOOM)
-    spark.conf.set(BLOOM, "0")
-    try:
-        met = stage(keys.join(several, "bucket").select("bucket", "id"), "met")
-    finally:
-        spark.conf.set(BLOOM, before)
-    return told_apart(stage(sized(met.distinct()), "met_sized"))
+    met = stage(keys.join(several.hint("merge"), "bucket").select("bucket", "id").distinct(), "met")
+    return told_apart(stage(sized(met), "met_sized"))
 
 
 def repeats(docs: DataFrame, size: int = WORDS, least: int = LEAST, similarity: float = SIMILARITY) -> DataFrame:
