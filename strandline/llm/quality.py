@@ -30,10 +30,10 @@ def _count(text: Column, chars: str) -> Column:
     return sum((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in chars[1:]), F.length(text) - F.length(F.replace(text, F.lit(chars[0]), F.lit(""))))
 
 
-def statistics(rows: DataFrame, text: Column) -> DataFrame:
-    """``rows`` with ``stats``, an array of doubles in the order of NAMES, of ``text``."""
+def statistics(rows: DataFrame, text: Column | None = None) -> DataFrame:
+    """``rows`` with ``stats``, an array of doubles in the order of NAMES, of ``text``, by default their column of that name."""
     names = rows.columns
-    base = rows.withColumn("t_", F.coalesce(text.cast("string"), F.lit("")))
+    base = rows.withColumn("t_", F.coalesce((F.col("text") if text is None else text).cast("string"), F.lit("")))
     base = base.withColumn("w_", F.filter(F.split("t_", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     raw = {
         "chars": F.length("t_"),
@@ -191,11 +191,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x, np.array([r["y_"] for r in got], float))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` as one struct ``row_``, with ``stats`` and ``score`` beside it."""
+def _scores(docs: DataFrame, model: Model) -> DataFrame:
+    """(row_, stats, score), the columns of ``docs`` put away in ``row_``."""
     return statistics(as_row(docs), row_column("text")).withColumn("score", model.column())
 
 
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``stats`` and ``score``; columns of these names that it has already are left out."""
+    names = [c for c in docs.columns if c.lower() not in ("stats", "score")]
+    return _scores(docs, model).select(*(row_column(c).alias(c) for c in names), "stats", "score")
+
+
 def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``least``, with the columns they had."""
-    return unpacked(kept(scored(docs, model), F.col("score") >= least), docs.columns)
+    return unpacked(kept(_scores(docs, model), F.col("score") >= least), docs.columns)

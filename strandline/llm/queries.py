@@ -18,8 +18,7 @@ def tokenizer_ranks() -> str:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    doc_id = F.col("row_.doc_id")
-    return quality.scored(docs, model).select(doc_id, quality.held_out(doc_id).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return quality.scored(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
