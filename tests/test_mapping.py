@@ -343,3 +343,41 @@ def test_command_line(spark, tmp_path):
     for bad in (["-H", "x"], ["-x", "bogus"], ["-I", "a"], ["-R", "ID:z"]):
         with pytest.raises(ValueError):
             config(arguments(["mem", "i", "r", "-o", "x", *bad]))
+
+
+def test_packed_seeds_are_the_windows_of_the_text(spark):
+    s = lcg(9, 2 * index.PIECE + 700)
+    s = s[:5000] + "N" * 7 + s[5007:]
+    c = contigs(spark, s, lcg(10, 40), "ACG")
+    of = index.reference(c)
+    for k in (5, 19, 31):
+        got = {(r.ref_id, r.pos): r.kmer for r in of.kmers(k).collect()}
+        text = {(r.ref_id, r.pos): r.kmer for r in index.kmers(c, ["ref_id"], k).collect()}
+        assert got == {p: int(t.translate(str.maketrans("ACGT", "0123")), 4) for p, t in text.items()}
+        assert sum(r == 0 for r, _ in got) == sum("N" not in s[i : i + k] for i in range(len(s) - k + 1))
+    with pytest.raises(ValueError):
+        of.kmers(32)
+    at = spark.createDataFrame([(0, 4000, 8300), (1, 0, 40), (0, 5, 5)], "ref_id long, window_begin long, window_end long")
+    assert {(r.ref_id, r.window_begin): r.window for r in index.windows(at, c).collect()} == {(0, 4000): s[4000:8300], (1, 0): lcg(10, 40)}
+
+
+def test_reads_map_as_published_against_a_saved_index(spark, tmp_path):
+    """At least 1,984 of 2,000 reads of 150 bases with 1 % errors belong within 5 bases of their place; here 300."""
+    c = contigs(spark, "".join(random.Random(77).choices("ACGT", k=300_000)))
+    index.save(c, str(tmp_path / "i"), 19)
+    truth = io.simulate(c, 300, 150, 0.01)
+    rows = mapping.align_single(truth.select("read_id", "name", "seq", "qual"), index.opened(spark, str(tmp_path / "i")), preset("intractable"))
+    r = io.accuracy(rows.withColumn("line_no", F.col("kind_ord")), truth).first()
+    assert r.reads == r.mapped == 300 and r.correct_pos >= 300 * 1984 / 2000 and r.correct_strand >= 298
+
+
+def test_refused_extensions_fall_back_to_the_chain(spark):
+    ref = lcg(31, 400)
+    chain = "read_id long, strand string, ref_id long, chain_no int, score int, query_begin int, query_end int, ref_begin int, ref_end int, mems array<struct<qpos:int,rpos:int,len:int>>"
+    from strandline.operators.chaining import ranked
+
+    found = spark.createDataFrame([(0, "+", 0, 0, 300, 0, 20, 100, 120, [(0, 100, 20)]), (0, "+", 0, 1, 30, 5, 15, 200, 210, [(5, 200, 10)])], chain)
+    rd = reads(spark, ref[100:140])
+    for least, want in ((0, [(100, "20M20S", 300, None, 30, 1)]), (301, [])):
+        got = mapping.extended(rd, contigs(spark, ref), ranked(found), replace(Config(), min_output_score=least)).collect()
+        assert [(r.pos0, r.cigar, r.score, r.nm, r.skipped_best, r.skipped_n) for r in got] == want
