@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.sequence import reverse_complement
@@ -14,6 +16,8 @@ BROADCAST_BASES = 1_000_000
 BROADCAST_ROWS = 2_000_000
 #: Lengths of the seeds of reads without any match, in the order they are tried.
 RESCUE = (5, 4)
+#: Such seeds of a read in all contigs.
+RESCUED = 4096
 
 
 def stranded(reads: DataFrame) -> DataFrame:
@@ -148,32 +152,54 @@ def unmatched(reads: DataFrame, mems: DataFrame) -> DataFrame:
 
 
 def rescue_counts(reads: DataFrame, refs: DataFrame | Reference, mems: DataFrame, max_occ: int, sizes: tuple[int, ...] = RESCUE) -> DataFrame:
-    """(read_id, ref_id, k, seeds): how many short seeds of each length reads have that have no match at all.
+    """(read_id, ref_id, k, seeds): positions of reads without any match that have a short seed of each length in a contig.
 
     Occurrences are counted per contig and k-mer first, so the join never meets positions.
     """
     lone, of, parts = unmatched(reads, mems), reference(refs), []
     for k in sizes:
         q = read_kmers(lone, k, ("read_id",)).groupBy("read_id", "kmer").agg(F.count("*").alias("n"))
-        r = of.kmers(k).groupBy("ref_id", "kmer").agg(F.count("*").alias("occ")).where(F.col("occ") <= 20 * max_occ)
-        n = r.join(q, "kmer").groupBy("read_id", "ref_id").agg(F.sum(F.col("n") * F.col("occ")).cast("long").alias("seeds"))
+        n = _rare(of, k, max_occ).join(q, "kmer").groupBy("read_id", "ref_id").agg(F.sum("n").cast("long").alias("seeds"))
         parts.append(n.select("read_id", "ref_id", F.lit(k).alias("k"), "seeds"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
-def rescue_seeds(lone: DataFrame, refs: DataFrame | Reference, max_occ: int, sizes: tuple[int, ...] = RESCUE) -> DataFrame:
-    """The seeds that ``rescue_counts`` counts of the reads in ``lone``, forward strand only."""
-    of, out = reference(refs), None
-    for k in sizes:
-        r = of.kmers(k)
-        rare = r.groupBy("ref_id", "kmer").agg(F.count("*").alias("occ")).where(F.col("occ") <= 20 * max_occ).select("ref_id", "kmer")
-        r = r.join(rare, ["ref_id", "kmer"])
-        hit = r.join(read_kmers(lone, k, ("read_id",)), "kmer").select("read_id", F.lit("+").alias("strand"), "ref_id", "qpos", F.col("pos").alias("rpos"), F.lit(k).alias("len"))
-        out = hit if out is None else out.unionByName(hit)
-    return out
+def _rare(of: Reference, k: int, max_occ: int) -> DataFrame:
+    """(ref_id, kmer, pos): the first place of each k-mer in each contig that does not hold it too often."""
+    r = of.kmers(k).groupBy("ref_id", "kmer").agg(F.min("pos").alias("pos"), F.count("*").alias("occ"))
+    return r.where(F.col("occ") <= 20 * max_occ).drop("occ")
+
+
+def rescue_seeds(lone: DataFrame, refs: DataFrame | Reference, max_occ: int, sizes: tuple[int, ...] = RESCUE, most: int = RESCUED, step: int = 64) -> DataFrame:
+    """Short seeds of the reads in ``lone(read_id, seq)``, forward strand only.
+
+    A position has one seed of each length in a contig, at its first place.  A read has ``most`` seeds at most, in the order of
+    contig, length as tried, and position.  So contigs are gone through some at a time, in their order, eight times as many
+    in each round, until no read wants more.
+    """
+    of, low, parts = reference(refs), None, []
+    order = Window.partitionBy("read_id").orderBy("ref_id", F.desc("len"), "qpos")
+    while True:
+        left = of.contigs.select("ref_id") if low is None else of.contigs.select("ref_id").where(F.col("ref_id") > low)
+        high = left.orderBy("ref_id").limit(step).agg(F.max("ref_id")).first()[0]
+        if high is None:
+            break
+        span = F.col("ref_id") <= high if low is None else (F.col("ref_id") > low) & (F.col("ref_id") <= high)
+        some = Reference(of.contigs.where(span), of.pieces.where(span))
+        hits = []
+        for k in sizes:
+            h = _rare(some, k, max_occ).join(read_kmers(lone, k, ("read_id",)), "kmer")
+            hits.append(h.select("read_id", F.lit("+").alias("strand"), "ref_id", "qpos", F.col("pos").alias("rpos"), F.lit(k).alias("len")))
+        parts.append(staged(reduce(DataFrame.unionByName, hits)))
+        n = reduce(DataFrame.unionByName, parts).groupBy("read_id").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+        lone = staged(lone.join(n, "read_id", "left_anti"))
+        if lone.isEmpty():
+            break
+        low, step = high, 8 * step
+    if not parts:
+        return lone.select("read_id", F.lit("+").alias("strand"), F.lit(0).cast("long").alias("ref_id"), F.lit(0).alias("qpos"), F.lit(0).alias("rpos"), F.lit(0).alias("len")).limit(0)
+    every = reduce(DataFrame.unionByName, parts)
+    return every.withColumn("n_", F.row_number().over(order)).where(F.col("n_") <= most).drop("n_")
 
 
 def best_hit(mems: DataFrame) -> DataFrame:

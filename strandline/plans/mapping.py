@@ -318,7 +318,7 @@ RESCUE = """p{k} AS (
 ), q{k} AS (
   SELECT read_id, substr(seq, i + 1, {k}) AS kmer, count(*) AS n FROM (SELECT *, unnest(range(0, length(seq) - {k} + 1)) AS i FROM reads WHERE read_id NOT IN (SELECT read_id FROM mems)) GROUP BY ALL
 ), s{k} AS (
-  SELECT read_id, ref_id, {k} AS k, CAST(sum(n * occ) AS BIGINT) AS seeds FROM r{k} JOIN q{k} USING (kmer) GROUP BY ALL
+  SELECT read_id, ref_id, {k} AS k, CAST(sum(n) AS BIGINT) AS seeds FROM r{k} JOIN q{k} USING (kmer) GROUP BY ALL
 )"""
 
 ORACLES = {
