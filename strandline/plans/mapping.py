@@ -132,6 +132,17 @@ def sam_lines(spark, sf_dir):
     return sam.sam_rows(_records(spark, sf_dir)).select("read_id", "kind_ord", "idx", "value")
 
 
+def streamed_reads(spark, sf_dir):
+    """The reads as files that arrive, mapped batch by batch by the streaming job."""
+    from ..sources.staging import own_folder
+    from ..streaming.align import align_stream
+
+    at = own_folder(spark)
+    reads(spark, sf_dir).select("read_id", "name", "seq", "qual").repartition(4, "read_id").write.parquet(f"{at}/in")
+    align_stream(spark, f"{at}/in", refs(spark, sf_dir), f"{at}/out", f"{at}/state", preset("intractable"), files=2).awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("read_id", "kind", "flag", "rname", "pos", "mapq", "cigar", "score")
+
+
 def align_mates(spark, sf_dir):
     """Every read cut in two: its first half and its reversed second half are mates."""
     r, half = reads(spark, sf_dir), F.ceil(F.length("seq") / 2).cast("int")
@@ -231,7 +242,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seed_join, mem_islands, best_hit, kmer_counts, unique_kmers, pattern_counts, occurrence_cap, containment, strand_coverage, inexact_gate, strand_vote, one_mismatch, rescue_kmers, mems_per_contig, chain_edges, chain_table,
-        align_reads, align_all, sam_lines, align_mates, simulated_accuracy, simulated_reads, pairwise_local, pairwise_global, proper_pairs, insert_moments, interleaved_pairs, zipped_pairs, 
+        align_reads, align_all, streamed_reads, sam_lines, align_mates, simulated_accuracy, simulated_reads, pairwise_local, pairwise_global, proper_pairs, insert_moments, interleaved_pairs, zipped_pairs, 
         split_segments, 
     )
 }

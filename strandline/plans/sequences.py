@@ -52,6 +52,12 @@ def total_length(spark, sf_dir):
     return contigs(spark, sf_dir).agg(F.sum("length").alias("total_length"), F.count("*").alias("n_contigs"))
 
 
+def added_contigs(spark, sf_dir):
+    """Contigs with part names appended as more of them: offsets go on where the last one ends."""
+    p = read(spark, sf_dir, "part").select((F.col("p_partkey") + 1_000_000_000).alias("ref_id"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("name"), S.dna("p_name").alias("seq"))
+    return index.add_contig(contigs(spark, sf_dir), p).drop("seq")
+
+
 def encode_bases(spark, sf_dir):
     r = reads(spark, sf_dir).select("read_id", S.encode("seq").alias("codes"))
     return r.select("read_id", "codes", S.decode("codes").alias("bases"))
@@ -264,7 +270,7 @@ POSITIONS = f"WITH {CONTIGS}, p AS (SELECT o_orderkey, (o_orderkey * 7919) % (SE
 QUERIES = {
     f.__name__: f
     for f in (
-        contig_table, total_length, encode_bases, reverse_complements, contig_md5, normalize_bases, locate_sequence, extract_ref, random_bases, cigar_pack, cigar_format, cigar_parse, cigar_spans, bins, mapping_quality, sam_flags, template_lengths,
+        contig_table, total_length, added_contigs, encode_bases, reverse_complements, contig_md5, normalize_bases, locate_sequence, extract_ref, random_bases, cigar_pack, cigar_format, cigar_parse, cigar_spans, bins, mapping_quality, sam_flags, template_lengths,
         phred, byte_sizes, header_parts, fasta_lines, string_functions, container_functions, chain_windows, suffix_ranks, bwt_text, rank_table, symbol_starts, last_to_first, doubling_ranks,
     )
 }
@@ -272,6 +278,9 @@ QUERIES = {
 ORACLES = {
     "contig_table": f"WITH {CONTIGS} SELECT ref_id, name, length, \"offset\", md5 FROM contigs",
     "total_length": f"WITH {CONTIGS} SELECT CAST(sum(length) AS BIGINT) AS total_length, count(*) AS n_contigs FROM contigs",
+    "added_contigs": f"""WITH {CONTIGS}, more AS (
+  SELECT ref_id, name, seq FROM contigs UNION ALL SELECT 1000000000 + p_partkey, 'part' || p_partkey, {DNA.replace("text", "p_name")} FROM part
+) SELECT ref_id, name, CAST(length(seq) AS BIGINT) AS length, CAST(coalesce(sum(length(seq)) OVER (ORDER BY ref_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", md5(seq) AS md5 FROM more WHERE seq <> ''""",
     "encode_bases": f"SELECT item_id AS read_id, translate({DNA}, 'ACGTN', '01234') AS codes, {DNA} AS bases FROM benchmark",
     "reverse_complements": f"WITH {CONTIGS} SELECT ref_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM contigs",
     "contig_md5": f"WITH {CONTIGS} SELECT ref_id, md5 FROM contigs",
