@@ -36,7 +36,7 @@ GAP, NEAR = 24, 2
 #: Bits of a place that hold its first word; characters of texts that are gone through at a time.
 START_BITS, PART = 20, 1 << 19
 #: Paragraphs of a chunk that is compared with another, and cells of a matrix that are counted at a time.
-CHUNK, CELLS = 512, 1 << 22
+CHUNK, CELLS = 256, 1 << 22
 BANDS, ROWS = 4, 2
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -220,9 +220,11 @@ def alike(t: pa.Table, similarity: float = SIMILARITY) -> np.ndarray:
     pairs = np.zeros(both.shape)
     for low in range(0, int(at[-1]) + 1 if len(at) else 0, step):
         a, z = np.searchsorted(at, [low, low + step])
-        has = np.zeros((len(sets), step), np.float32)
-        has[owner[a:z], at[a:z] - low] = 1
-        pairs += has @ has.T
+        here = at[a:z] - low
+        bits = np.zeros((len(sets), (min(step, int(here[-1]) + 1) + 63) // 64), np.uint64)
+        np.bitwise_or.at(bits, (owner[a:z], here >> 6), np.uint64(1) << (here & 63).astype(np.uint64))
+        for i in range(len(sets)):
+            pairs[i] += np.bitwise_count(bits & bits[i]).sum(1)
     both = np.maximum(both, pairs)
     return both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
 
