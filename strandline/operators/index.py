@@ -45,8 +45,8 @@ def contigs(records: DataFrame) -> DataFrame:
 
     Empty sequences are left out.  The records are written once; offsets come from their lengths alone.
     """
-    c = records.where(F.length("seq") > 0)
-    c = staged(c.select("ref_id", "name", F.length("seq").cast("long").alias("length"), F.md5(F.upper("seq")).alias("md5"), normalize("seq").alias("seq")))
+    # The filter comes after the write: before it, Spark would compute a derived sequence for the filter and once more.
+    c = staged(records.select("ref_id", "name", F.length("seq").cast("long").alias("length"), F.md5(F.upper("seq")).alias("md5"), normalize("seq").alias("seq"))).where("length > 0")
     return c.join(offsets(c.select("ref_id", "length")), "ref_id").select("ref_id", "name", "length", "offset", "md5", "seq")
 
 
@@ -57,14 +57,14 @@ def cut(sequences: DataFrame, key: list[str], seq: str = "seq", after: int = AFT
     """
     s = F.col(seq)
     parts = F.when(F.length(s) <= PIECE, F.array(s)).otherwise(F.regexp_extract_all(s, F.lit("(?s).{1,%d}" % PIECE), F.lit(0)))
-    cuts = sequences.where(F.length(seq) > 0).select(*key, parts.alias("p_"))
+    cuts = sequences.select(*key, F.filter(parts, lambda x: x != "").alias("p_"))
     row = lambda x, i: F.struct(i.alias("piece"), x.alias("bases"), F.coalesce(F.substring(F.get("p_", i + 1), 1, after), F.lit("")).alias("after"))
     return cuts.select(*key, F.explode(F.transform("p_", row)).alias("x_")).select(*key, "x_.*")
 
 
 def kmers(sequences: DataFrame, key: list[str], k: int, seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
     """``(*key, pos, kmer)`` of every window of k bases without N, as text; pos counts from 0."""
-    p = cut(sequences.where(F.length(seq) >= k), key, seq, max(AFTER, k))
+    p = cut(sequences, key, seq, max(AFTER, k))
     s = p.select(*key, F.col("piece") * PIECE, F.concat("bases", F.substring("after", 1, k - 1))).toDF(*key, "at_", "s_").where(F.length("s_") >= k)
     chunks = s.select(*key, "at_", "s_", F.explode(F.sequence(F.lit(0), F.length("s_") - k, F.lit(chunk))).alias("o_"))
     chunks = chunks.select(*key, (F.col("at_") + F.col("o_")).alias("at_"), F.substring("s_", F.col("o_") + 1, F.lit(chunk + k - 1)).alias("s_"))
