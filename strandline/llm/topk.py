@@ -137,14 +137,16 @@ def top_scores(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     dealt = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.withColumn("rb", dealt(n_rows)).withColumn("qb", spread(n_asked))
-    right = asked.withColumn("qb", dealt(n_asked)).withColumn("rb", spread(n_rows))
+    # Both sides come from one table; names of their own keep Spark from pruning a column that the other side has too.
+    right = asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("w"), dealt(n_asked).alias("qb")).withColumn("rb", spread(n_rows))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        va, vb = a["v"].to_pylist(), b["v"].to_pylist()
+        # A side without rows may come without columns.
+        va, vb = (t[c].to_pylist() if t.num_rows else [] for t, c in ((a, "v"), (b, "w")))
         if not va or not vb:
             return pa.table({"query": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         width = max(map(len, va + vb))
-        ids, qids, mine = a["vec_id"].to_numpy(), b["vec_id"].to_numpy(), b["row"].to_numpy()
+        ids, qids, mine = a["vec_id"].to_numpy(), b["query_id"].to_numpy(), b["query"].to_numpy()
         rows, out = _matrix(va, width), []
         for at in range(0, len(vb), SLICE):
             some = slice(at, at + SLICE)
