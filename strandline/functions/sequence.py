@@ -166,12 +166,21 @@ def phred_text(values) -> Column:
 
 
 def format_bytes(n) -> Column:
-    """A number of bytes with a unit, two decimals above bytes."""
-    n = col(n).cast("double")
-    out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
+    """A number of bytes with a unit, two decimals above bytes; a tie goes to the even digit, as printf has it.
+
+    The digits come from whole numbers: format_string rounds ties up.
+    """
+    n = col(n).cast("double").cast("long")
+    out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in ((10, "KB"), (20, "MB"), (30, "GB"), (40, "TB")):
-        size = F.format_string(f"%.2f {unit}", n / float(1 << power))
-        out = F.when(n >= float(1 << power), size).otherwise(out)
+        one = F.lit(1 << power).cast("long")
+        parts = n.bitwiseAND(one - 1) * 100
+        down, rest = F.shiftright(parts, power), parts.bitwiseAND(one - 1) * 2
+        up = (rest > one) | ((rest == one) & (down % 2 == 1))
+        cents = down + up.cast("long")  # 100 of them are a whole
+        whole = F.shiftright(n, power) + (cents == 100).cast("long")
+        size = F.concat(whole.cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(f" {unit}"))
+        out = F.when(n >= one, size).otherwise(out)
     return out
 
 

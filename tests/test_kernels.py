@@ -234,3 +234,11 @@ def test_presets_and_options():
     for bad in ("", "x", "-3", "1,2,3,4,5"):
         with pytest.raises(ValueError):
             InsertSize.parse(bad)
+
+
+def test_sizes_round_ties_as_printf_does(spark):
+    sizes = [0, 1023, 1152, 1408, 1664, 2176, (1 << 20) - 1, (5 << 20) + (1 << 17), (7 << 30) + (5 << 27), (3 << 40) + (1 << 37), (3 << 40) + (1 << 37) + 1, (1 << 63) - 1]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", S.format_bytes("n").alias("s")).collect()
+    for n, s in got:
+        k = max(0, (n.bit_length() - 1) // 10) if n < 1 << 40 else 4
+        assert s == (f"{n} B" if not k else f"{n / (1 << 10 * k):.2f} {['', 'KB', 'MB', 'GB', 'TB'][k]}")
