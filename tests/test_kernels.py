@@ -242,3 +242,9 @@ def test_sizes_round_ties_as_printf_does(spark):
     for n, s in got:
         k = max(0, (n.bit_length() - 1) // 10) if n < 1 << 40 else 4
         assert s == (f"{n} B" if not k else f"{n / (1 << 10 * k):.2f} {['', 'KB', 'MB', 'GB', 'TB'][k]}")
+
+
+def test_bins_of_ranges_across_large_windows(spark):
+    ends = [(0, 1, 4681), (16380, 16390, 585), (131062, 131085, 73), ((1 << 20) - 5, (1 << 20) + 5, 9), ((1 << 23) - 5, (1 << 23) + 5, 1), ((1 << 26) - 5, (1 << 26) + 5, 0)]
+    got = spark.createDataFrame(ends, "b long, e long, want int").select("want", S.reg2bin("b", "e").alias("bin")).collect()
+    assert all(r.want == r.bin for r in got)
