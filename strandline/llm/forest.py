@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import stage
 
-#: Members of a chunk.
-CHUNK = 128
+#: Members of a chunk; a block of so few members is compared along with its neighbours.
+CHUNK, SMALL = 128, 16
 
 
 def spanning(near: np.ndarray) -> list[tuple[int, int]]:
@@ -35,8 +35,8 @@ def spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of equal (bucket, lo, hi) in a sorted partition, whole even where batches part them."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal (bucket, lo, hi) in a sorted partition, and where their runs begin and the last ends."""
     rest = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -44,14 +44,23 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         if not len(t):
             continue
         key = np.stack([t[c].to_numpy() for c in ("bucket", "lo", "hi")])
-        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-        at = 0
-        for end in cuts.tolist():
-            yield t.slice(at, end - at)
-            at = end
-        rest = t.slice(at)
+        cuts = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1]
+        if len(cuts) > 1:
+            yield t.slice(0, cuts[-1]).combine_chunks(), cuts
+        rest = t.slice(cuts[-1])
     if rest is not None and len(rest):
-        yield rest
+        yield rest, np.array([0, len(rest)])
+
+
+def _pairs(cuts: np.ndarray, small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows that lie in one of the small runs."""
+    end = np.repeat(np.where(small, cuts[1:], 0), np.diff(cuts))
+    row, i, j = np.arange(len(end)), [], []
+    for d in range(1, SMALL):
+        row = row[row + d < end[row]]
+        i.append(row)
+        j.append(row + d)
+    return np.concatenate(i), np.concatenate(j)
 
 
 def sized(members: DataFrame) -> DataFrame:
@@ -71,11 +80,12 @@ def told_apart(members: DataFrame) -> DataFrame:
     return members.join(stage(first, "buckets"), "bucket")
 
 
-def bucket_links(members: DataFrame, near: Callable[[pa.Table], np.ndarray], chunk: int = CHUNK) -> DataFrame:
+def bucket_links(members: DataFrame, near: Callable[[pa.Table], np.ndarray], chunk: int = CHUNK, close: Callable | None = None) -> DataFrame:
     """``members(bucket long, id long, ...)``, distinct in (bucket, id), to links ``(u, v)``.
 
     ``near`` gets the members of a block and returns their symmetric boolean matrix.  Members that come with the
-    ``size`` of their bucket are not counted again.
+    ``size`` of their bucket are not counted again.  ``close``, if given, tells which of the pairs of rows (i, j) of a table
+    are near; with it the many small blocks of a table are compared at once.
     """
     m = members if "size" in members.columns else sized(members)
     m = m.withColumn("c_", F.ceil(F.col("size") / chunk).cast("int"))
@@ -85,10 +95,16 @@ def bucket_links(members: DataFrame, near: Callable[[pa.Table], np.ndarray], chu
     m = m.drop("size", "c_", "mine_", "other_").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
     def run(batches):
-        for t in _groups(batches):
-            ids = t["id"].to_numpy()
-            if links := spanning(near(t)):
-                a = np.array(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a[:, 0]], pa.int64()), pa.array(ids[a[:, 1]], pa.int64())], ["u", "v"])
+        for t, cuts in _runs(batches):
+            ids, small = t["id"].to_numpy(), np.diff(cuts) <= (SMALL if close else 0)
+            if small.any():
+                i, j = _pairs(cuts, small)
+                keep = close(t, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i[keep]], pa.int64()), pa.array(ids[j[keep]], pa.int64())], ["u", "v"])
+            for k in np.flatnonzero(~small).tolist():
+                at, end = int(cuts[k]), int(cuts[k + 1])
+                if links := spanning(near(t.slice(at, end - at))):
+                    a = np.array(links) + at
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[:, 0]], pa.int64()), pa.array(ids[a[:, 1]], pa.int64())], ["u", "v"])
 
     return m.mapInArrow(run, "u long, v long")

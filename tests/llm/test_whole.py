@@ -5,9 +5,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import nearcopies, paragraphs, simhash
+from strandline.llm import forest, nearcopies, paragraphs, simhash
+from strandline.llm.components import components
 from strandline.llm.queries import op7_lines
 
 from test_near import DOCS, closure, frame, prose
@@ -61,3 +63,35 @@ def test_short_lines_are_classed_by_equality(spark, tmp_path):
     assert sorted((r.doc_id, r.line_no) for r in got if r.class_id is None) == [(1, 2), (2, 2)]
     out = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, frame(spark, rows, DOCS), None).collect()}
     assert out == {1: rows[0][1], 2: "\nown", 3: "x"}
+
+
+def test_near_copies_meet_by_their_fingerprints(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(60):  # pairs that differ in one run of words, at a similarity from 0.8 on
+        a = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(500)) for _ in range(rng.randrange(120, 400))]
+        at = rng.randrange(len(a) - 10)
+        texts += [" ".join(a), " ".join(a[:at] + ["new"] * rng.randrange(1, len(a) // 20) + a[at + 1 :])]
+    near = {i for i in range(0, 120, 2) if jaccard(shingles(texts[i]), shingles(texts[i + 1])) >= 0.8}
+    assert len(near) > 50
+    g = nearcopies.shingle_set(texts[0])
+    word = nearcopies.blend(g * nearcopies.SCALE[3] + nearcopies.SHIFT[3])
+    bits = [2 * sum(int(x) >> i & 1 for x in word) > len(g) for i in range(64)]
+    assert int(nearcopies.fingerprint(g)[3]) == sum(1 << i for i, b in enumerate(bits) if b)
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_ long, text string")
+    found = nearcopies.sketches(rows)
+    at = {r.node: r.row_ for r in found.select("row_", "node").collect()}
+    got = {min(at[r.u], at[r.v]) for r in nearcopies.met(found).collect()}
+    assert near <= got and len(got) <= 60
+
+
+def test_small_blocks_are_linked_as_large_ones_are(spark):
+    rng = random.Random(5)
+    members = [(b, i, rng.randrange(64)) for b in range(60) for i in rng.sample(range(4000), rng.randrange(1, 40))]
+    close = lambda t, i, j: abs(t["x"].to_numpy()[i] - t["x"].to_numpy()[j]) <= 2
+    df = spark.createDataFrame(members, "bucket long, id long, x long")
+    near = lambda t: close(t, np.arange(len(t))[:, None], np.arange(len(t))[None, :])
+    for b in range(0, 60, 20):
+        some = df.where(f"bucket between {b} and {b + 19}").withColumn("id", F.col("bucket") * 10_000 + F.col("id"))
+        a, c = ({(r.node, r.label) for r in components(forest.bucket_links(some, near, close=x)).collect()} for x in (None, close))
+        assert a == c and a
