@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.sequence import normalize
-from ..sources.staging import staged
+from ..sources.staging import staged, written
 from .alignment import CODES
 
 FORMAT = "strandline-index-2"
@@ -28,6 +28,10 @@ CHUNK = 256
 MOST_PACKED = 31
 #: Bases that are packed at a time.
 BATCH = 1 << 20
+#: Contigs of more bases in all are indexed in passes over ranges of k-mers, cut by a sample of pieces of some so many bases.
+ONE_PASS, PASSES, SAMPLE = 1 << 23, 8, 1 << 20
+#: How seeds are stored: sorted k-mers as differences, not by a dictionary.
+STORED = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#kmer": "false", "parquet.enable.dictionary#pos": "false"}
 
 
 def offsets(lengths: DataFrame, length: str = "length") -> DataFrame:
@@ -87,8 +91,11 @@ def pack(codes: np.ndarray, k: int) -> np.ndarray:
     return whole
 
 
-def packed_kmers(pieces: DataFrame, key: list[str], k: int) -> DataFrame:
-    """``pieces(*key, start, bases)`` to (*key, pos, kmer): every window of k bases without N, packed into a long."""
+def packed_kmers(pieces: DataFrame, key: list[str], k: int, low: int | None = None, high: int | None = None) -> DataFrame:
+    """``pieces(*key, start, bases)`` to (*key, pos, kmer): every window of k bases without N, packed into a long.
+
+    With ``low`` or ``high``, those from the one on and below the other.
+    """
     if not 1 <= k <= MOST_PACKED:
         raise ValueError(f"a seed has 1 to {MOST_PACKED} bases")
     kind = ", ".join(f"{c} {t}" for c, t in pieces.select(*key).dtypes) + ", pos int, kmer long"
@@ -116,11 +123,15 @@ def packed_kmers(pieces: DataFrame, key: list[str], k: int) -> DataFrame:
                 bad = np.r_[0, np.cumsum(codes > 3)]
                 last = len(codes) - k + 1
                 ok = np.flatnonzero((local[:last] + k <= sizes[row[:last]]) & (bad[k:] == bad[:last]))
+                values = pack(codes, k)[ok] if len(ok) else np.zeros(0, np.int64)
+                if low is not None or high is not None:
+                    within = (values >= (0 if low is None else low)) & (values < (1 << 62 if high is None else high))
+                    ok, values = ok[within], values[within]
                 if len(ok):
                     take, start = pa.array(row[ok]), b.column(len(key)).to_numpy(zero_copy_only=False)
-                    values = [c.take(take) for c in b.columns[: len(key)]]
-                    pos, kmer = pa.array((start[row[ok]] + local[ok]).astype(np.int32)), pa.array(pack(codes, k)[ok])
-                    yield pa.RecordBatch.from_arrays([*values, pos, kmer], [*key, "pos", "kmer"])
+                    keys = [c.take(take) for c in b.columns[: len(key)]]
+                    pos, kmer = pa.array((start[row[ok]] + local[ok]).astype(np.int32)), pa.array(values)
+                    yield pa.RecordBatch.from_arrays([*keys, pos, kmer], [*key, "pos", "kmer"])
 
     return pieces.select(*key, "start", "bases").mapInArrow(run, kind)
 
@@ -134,15 +145,26 @@ class Reference:
     seeds: DataFrame | None = None
     k: int = 0
 
-    def kmers(self, k: int) -> DataFrame:
-        """(kmer, ref_id, pos): the saved seeds where k is theirs, else made from the pieces."""
+    def kmers(self, k: int, low: int | None = None, high: int | None = None) -> DataFrame:
+        """(kmer, ref_id, pos): the saved seeds where k is theirs, else made from the pieces; from ``low`` on and below ``high``."""
         if self.seeds is not None and self.k == k:
-            return self.seeds.select("kmer", "ref_id", "pos")
+            some = self.seeds.select("kmer", "ref_id", "pos")
+            some = some if low is None else some.where(F.col("kmer") >= low)
+            return some if high is None else some.where(F.col("kmer") < high)
         s = F.concat("bases", F.substring("after", 1, k - 1)).alias("bases")
         # Pieces of one contig may lie in one task; dealt out, they are a twentieth of what is made of them.
         n = int(self.pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = self.pieces.repartition(n, "ref_id", "piece")
-        return packed_kmers(dealt.select("ref_id", (F.col("piece") * PIECE).cast("long").alias("start"), s), ["ref_id"], k).select("kmer", "ref_id", "pos")
+        return packed_kmers(dealt.select("ref_id", (F.col("piece") * PIECE).cast("long").alias("start"), s), ["ref_id"], k, low, high).select("kmer", "ref_id", "pos")
+
+    def cuts(self, k: int) -> list[tuple[int | None, int | None]]:
+        """Ranges of k-mers, all of them in order, that hold about as many each; a single one if the contigs are short."""
+        total = self.contigs.agg(F.sum("length")).first()[0] or 0
+        if total <= ONE_PASS:
+            return [(None, None)]
+        some = Reference(self.contigs, self.pieces.sample(min(1.0, SAMPLE / total), 7)).kmers(k)
+        at = sorted({int(x) for x in some.approxQuantile("kmer", [i / PASSES for i in range(1, PASSES)], 0.001)})
+        return list(zip([None, *at], [*at, None]))
 
 
 def reference(refs: DataFrame | Reference, keep: bool = False) -> Reference:
@@ -155,20 +177,22 @@ def reference(refs: DataFrame | Reference, keep: bool = False) -> Reference:
     return Reference(refs.select("ref_id", "name", F.length("seq").cast("long").alias("length")), cut(refs, ["ref_id"]))
 
 
-def seed_index(refs: DataFrame | Reference, k: int) -> DataFrame:
-    """(kmer, ref_id, pos, occ): every seed with its occurrences in its contig, range-partitioned by k-mer."""
-    s = reference(refs).kmers(k).repartitionByRange("kmer")
+def seed_index(refs: DataFrame | Reference, k: int, low: int | None = None, high: int | None = None) -> DataFrame:
+    """(kmer, ref_id, pos, occ): every seed, or those of a range, with its occurrences in its contig, range-partitioned by k-mer."""
+    s = reference(refs).kmers(k, low, high).repartitionByRange("kmer")
     # The ranges keep equal k-mers together, so the count needs no other exchange.
     return s.withColumn("occ", F.count("*").over(Window.partitionBy("kmer", "ref_id"))).select("kmer", "ref_id", "pos", "occ")
 
 
 def save(refs: DataFrame, path: str, k: int) -> None:
+    """Write an index.  Seeds are written in passes over ranges of k-mers, so that only those of one are shuffled at a time."""
     spark = refs.sparkSession
-    refs.write.mode("overwrite").parquet(f"{path}/contigs")
+    written(refs, f"{path}/contigs", "overwrite")
     known = spark.read.parquet(f"{path}/contigs")
-    cut(known, ["ref_id"]).write.mode("overwrite").parquet(f"{path}/pieces")
+    written(cut(known, ["ref_id"]), f"{path}/pieces", "overwrite")
     of = Reference(known.drop("seq"), spark.read.parquet(f"{path}/pieces"))
-    seed_index(of, k).sortWithinPartitions("kmer", "ref_id").write.mode("overwrite").parquet(f"{path}/seeds")
+    for i, (low, high) in enumerate(of.cuts(k)):
+        written(seed_index(of, k, low, high).sortWithinPartitions("kmer", "ref_id"), f"{path}/seeds", "append" if i else "overwrite", **STORED)
     spark.createDataFrame([(FORMAT, k)], "format string, k int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 

@@ -30,14 +30,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    return index.contigs(d.select(F.col("doc_id").alias("ref_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), S.dna("text").alias("seq")))
+    return index.contigs(d.select(F.col("doc_id").alias("ref_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), S.dna_batches("text").alias("seq")))
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contigs without offsets, where these are not asked for."""
     d = read(spark, sf_dir, "documents")
     # An explode drops empty sequences; a filter would make Spark derive each sequence twice.
-    seq = F.explode(F.filter(F.array(S.dna("text")), lambda x: x != ""))
+    seq = F.explode(F.filter(F.array(S.dna_batches("text")), lambda x: x != ""))
     return d.select(F.col("doc_id").alias("ref_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), seq.alias("seq"))
 
 

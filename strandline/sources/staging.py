@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _roots: dict[tuple[str, str], str] = {}
 
 
@@ -34,9 +36,20 @@ def own_folder(spark: SparkSession) -> str:
     return f"{_roots[key]}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str, mode: str = "errorifexists", **options) -> None:
+    """Write ``df`` compressed well; the shuffle files of the write go as soon as it has ended."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode(mode).options(compression="zstd", **options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back, so that later jobs do not compute it again."""
     spark = df.sparkSession
     path = own_folder(spark)
-    df.write.parquet(path)
+    written(df, path)
     return spark.read.schema(df.schema).parquet(path)

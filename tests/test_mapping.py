@@ -2,6 +2,7 @@
 
 import gzip
 import random
+from collections import Counter
 from dataclasses import replace
 
 import pytest
@@ -381,3 +382,21 @@ def test_refused_extensions_fall_back_to_the_chain(spark):
     for least, want in ((0, [(100, "20M20S", 300, None, 30, 1)]), (301, [])):
         got = mapping.extended(rd, contigs(spark, ref), ranked(found), replace(Config(), min_output_score=least)).collect()
         assert [(r.pos0, r.cigar, r.score, r.nm, r.skipped_best, r.skipped_n) for r in got] == want
+
+
+def test_seeds_saved_in_passes_are_all_seeds(spark, tmp_path, monkeypatch):
+    c = contigs(spark, lcg(5, 9000) + "N" + lcg(6, 700), "A" * 300, lcg(5, 2000), "ACG")
+    index.save(c, str(tmp_path / "one"), 9)
+    monkeypatch.setattr(index, "ONE_PASS", 100)
+    ranges = index.reference(c).cuts(9)
+    assert len(ranges) == index.PASSES and ranges[0][0] is None and ranges[-1][1] is None and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+    index.save(c, str(tmp_path / "more"), 9)
+    one, more = (Counter(tuple(r) for r in index.load(spark, str(tmp_path / n))[1].select("kmer", "ref_id", "pos", "occ").collect()) for n in ("one", "more"))
+    assert one == more and max(one.values()) == 1 and sum(one.values()) == 9000 - 8 + 700 - 8 + 292 + 1992
+
+
+def test_derived_sequences_of_batches_are_those_of_columns(spark):
+    rng = random.Random(3)
+    texts = [None, "", " \n", "Ünïcode ſK straße 12", "AaZz09_-~", "\U0001f600x\x00y", *("".join(rng.choice("abcXYZ 019,.é日\n") for _ in range(rng.randrange(3000))) for _ in range(50))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert df.where(~S.dna("text").eqNullSafe(S.dna_batches("text"))).count() == 0 and df.select(S.dna_batches("text").alias("s")).where("s is null").count() == 1
