@@ -29,14 +29,19 @@ def chain_window(ref_pos: Column, query_begin: Column, query_len: Column, ref_le
 MATCH = ["read_id", "strand", "ref_id", "qpos", "rpos", "len"]
 
 
+def exact_matches(reads: DataFrame, refs: DataFrame | Reference, k: int, max_occ: int) -> DataFrame:
+    """The exact matches that are kept.  Hits are dealt out once, by what all windows over them share."""
+    hits = seeding.seed_hits(reads, refs, k).repartition("read_id", "ref_id")
+    return seeding.uncontained(seeding.capped(seeding.maximal_matches(hits, k), k, max_occ)).select(MATCH)
+
+
 def matches(reads: DataFrame, refs: DataFrame | Reference, cfg: Config, rescue: bool = True) -> DataFrame:
     """Exact matches of all reads, inexact seeds where they cover little, and short seeds of reads without any.
 
     The matches are written, since each step asks for what the steps before it left open.
     """
     k, of = cfg.min_seed_len, reference(refs, keep=True)
-    exact = seeding.maximal_matches(seeding.seed_hits(reads, of, k), k)
-    exact = staged(seeding.uncontained(seeding.capped(exact, k, cfg.max_occ)).select(MATCH))
+    exact = staged(exact_matches(reads, of, k, cfg.max_occ))
     if seeding.needs_inexact(exact, reads).isEmpty():
         return exact
     out = staged(exact.unionByName(seeding.inexact_seeds(reads, of, exact, k, cfg.max_occ).select(MATCH)))

@@ -400,3 +400,14 @@ def test_derived_sequences_of_batches_are_those_of_columns(spark):
     texts = [None, "", " \n", "Ünïcode ſK straße 12", "AaZz09_-~", "\U0001f600x\x00y", *("".join(rng.choice("abcXYZ 019,.é日\n") for _ in range(rng.randrange(3000))) for _ in range(50))]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
     assert df.where(~S.dna("text").eqNullSafe(S.dna_batches("text"))).count() == 0 and df.select(S.dna_batches("text").alias("s")).where("s is null").count() == 1
+
+
+def test_hits_are_shuffled_once_for_all_windows_over_them(spark):
+    ref = lcg(31, 3000)
+    c, r = contigs(spark, ref, lcg(32, 500) + ref[100:400]), reads(spark, ref[50:350], rc(ref[900:1100]), ref[10:60] * 3)
+    got = mapping.exact_matches(r, index.reference(c, keep=True), 15, 500)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    prepared = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and sum("Exchange" in x and "Broadcast" not in x for x in prepared.splitlines()) <= 2  # the pieces, the hits
+    want = seeding.uncontained(seeding.capped(seeding.maximal_matches(seeding.seed_hits(r, c, 15), 15), 15, 500)).select(mapping.MATCH)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and got.count() >= 4
